@@ -21,7 +21,7 @@ def noise_lines(df: DataFrame, id_col: str = "id", title_col: str = "title", tex
     that are not residue (problem 7). The text is read and judged once for both questions."""
     judged = residue.judged_pages(df, id_col, title_col, text_col, with_noise=True)
     pages_left = judged.select("id", "noise").join(residue.residue_ids(judged), "id", "left_anti")
-    return pages_left.dropDuplicates(["id"]).select("id", F.explode("noise").cast("bigint").alias("line_no"))
+    return pages_left.dropDuplicates(["id"]).select("id", F.explode(F.col("noise").cast("array<bigint>")).alias("line_no"))
 
 
 def main_body(df: DataFrame, title_col: str = "title", text_col: str = "content") -> DataFrame:
