@@ -103,6 +103,6 @@ def repair_json_udf():
 def parse_answer(answer: Column, schema: str) -> Column:
     """The answer as a struct: as it stands, or else repaired; null where neither parses."""
     inner = json_part(answer)
-    whole = lambda c: F.when(F.is_valid_json(c), F.from_json(c, schema)) if hasattr(F, "is_valid_json") else F.from_json(c, schema, {"mode": "PERMISSIVE"})
+    whole = lambda c: F.from_json(c, schema)
     good = F.try_parse_json(inner).isNotNull()
     return F.when(good, whole(inner)).otherwise(whole(repair_json_udf()(inner)))
