@@ -12,11 +12,11 @@ CITATION = r"\[\^([^\]]+)\]"
 
 def paragraphs(body: Column) -> Column:
     """Trimmed paragraphs that are not empty."""
-    return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"\n{2,}"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"\n{2,}"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _domains(inner: Column) -> Column:
-    return F.filter(F.transform(F.split(inner, ","), F.trim), lambda d: d != "")
+    return F.filter(F.transform(F.split(inner, ","), lambda d: F.trim(d)), lambda d: d != "")
 
 
 def tokens(paragraph: Column) -> Column:

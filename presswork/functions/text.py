@@ -19,7 +19,7 @@ def contains_text(c: Column, query: Column | str, wildcards: bool = False) -> Co
     """Substring test, blind to ASCII case; % and _ are live only with ``wildcards``."""
     query = F.lit(query) if isinstance(query, str) else query
     if wildcards:
-        return ascii_lower(c).like(F.concat(F.lit("%"), ascii_lower(query), F.lit("%")))
+        return F.like(ascii_lower(c), F.concat(F.lit("%"), ascii_lower(query), F.lit("%")))
     return F.contains(ascii_lower(c), ascii_lower(query))
 
 
@@ -39,7 +39,7 @@ def keywords(query: Column, least: int = 3) -> Column:
 
 def sub_topics(query: Column) -> Column:
     """Parts of a free query between conjunctions, comparisons and commas; the whole where none is left."""
-    parts = F.filter(F.transform(F.split(query, r"(?i)\b(?:and|vs\.?|versus|compared?\s+to|compare|with|&)\b|,"), F.trim), lambda p: F.length(p) >= 3)
+    parts = F.filter(F.transform(F.split(query, r"(?i)\b(?:and|vs\.?|versus|compared?\s+to|compare|with|&)\b|,"), lambda p: F.trim(p)), lambda p: F.length(p) >= 3)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(query)))
 
 

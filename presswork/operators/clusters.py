@@ -94,6 +94,8 @@ class OnlineClusters:
         best, at = 0.0, -1
         if vector is not None and np.linalg.norm(vector) > 0:
             for i in live:
+                if len(self.sums[i]) != len(vector):
+                    continue
                 centre = self.sums[i] / self.counts[i]
                 size = np.linalg.norm(centre) * np.linalg.norm(vector)
                 cos = float(centre @ vector / size) if size else 0.0
@@ -177,7 +179,8 @@ def greedy_merge(snap: DataFrame, pairs: DataFrame, cap: int = 15) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(frames), ignore_index=True)
         swap = every.pa > every.pb
-        every.loc[swap, ["a", "b", "pa", "pb", "na", "nb"]] = every.loc[swap, ["b", "a", "pb", "pa", "nb", "na"]].to_numpy()
+        for x, y in (("a", "b"), ("pa", "pb"), ("na", "nb")):
+            every[x], every[y] = every[x].where(~swap, every[y]), every[y].where(~swap, every[x])
         live: dict[str, int] = {}
         into: dict[str, str] = {}
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.plans import timestamps
+from presswork.plans import core, timestamps
 
-MODULES = (timestamps,)
+MODULES = (timestamps, core)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
