@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CITATION = r"\[\^([^\]]+)\]"
 
@@ -90,9 +92,6 @@ def repair_json(raw: str) -> str:
 
 
 def repair_json_udf():
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.StringType())
     def repaired(raw: pd.Series) -> pd.Series:
         return raw.map(lambda x: None if x is None else repair_json(x))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,10 +22,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def from_bytes_udf():
     """Pandas UDF that reads vectors stored as little-endian 64-bit floats."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def decode(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f8"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presswork.functions import text as tx
+from presswork.session import cut
 
 
 def since(stamp: Column, now: Column, hours: int, legacy_text_ts: bool = False) -> Column:
@@ -70,8 +71,18 @@ def candidates(articles: DataFrame, query: str, now: Column, hours: int, fetch:
     return used.withColumn("pos", F.row_number().over(Window.orderBy("pass", "rank"))).select("id", "source_domain", "title", "url", "ingested", "title_hit", "pos")
 
 
+def pool(articles: DataFrame, texts: list[str], now: Column, hours: int) -> DataFrame:
+    """The recent articles that hold any of the texts or their words, written once: what a selection of
+    several searches reads instead of scanning all articles for each."""
+    words = dict.fromkeys([*texts, *(w for t in texts if " " in t for w in t.split() if len(w) >= 3)])
+    hits = [tx.contains_text(F.col(c), w) for w in words for c in ("title", "content")]
+    columns = articles.select("id", "source_domain", "title", "content", "url", "ingested")
+    return cut(columns.where(since(F.col("ingested"), now, hours) & reduce(lambda a, b: a | b, hits)))
+
+
 def assemble_query(articles: DataFrame, query: str, now: Column, hours: int = 72, fetch: int = 30, least: int = 4, cap: int = 8, domains: list[str] | None = None) -> DataFrame:
     """Diverse selection for one topic."""
+    articles = pool(articles, [query], now, hours)
     return diverse(candidates(articles, query, now, hours, fetch, least, fetch, domains), "pos", cap)
 
 
@@ -81,7 +92,7 @@ def assemble_freeform(articles: DataFrame, query: str, topics: list[str], now: C
     if len(topics) <= 1:
         return assemble_query(articles, query, now, hours)
     quota = max(2, cap // len(topics))
-    spark = articles.sparkSession
+    articles = pool(articles, [query, *topics], now, hours)
     chosen = None
     for i, topic in enumerate(dict.fromkeys(topics)):  # the few parts of one typed query
         found = candidates(articles, topic, now, hours, 20, 3, 15)
@@ -94,4 +105,4 @@ def assemble_freeform(articles: DataFrame, query: str, topics: list[str], now: C
     rest = rest.select("id", "source_domain", "title", "url", "ingested", F.lit(len(topics)).alias("topic"), F.col("rank").alias("pos"))
     order = ["topic", "pos"]
     picked = chosen.unionByName(rest).orderBy(*order).limit(cap)
-    return picked.withColumn("pick", F.row_number().over(Window.orderBy(*order))) if spark else picked
+    return picked.withColumn("pick", F.row_number().over(Window.orderBy(*order)))

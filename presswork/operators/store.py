@@ -17,7 +17,7 @@ from presswork.functions import urls
 
 
 class Store:
-    """Named tables under one folder; each version is a parquet folder, ``_current`` names the valid one."""
+    """Named tables under one folder; each version is a parquet folder, CURRENT names the valid one."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -26,7 +26,7 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+        return f"{self.root}/{name}/CURRENT"
 
     def read(self, name: str) -> DataFrame:
         if not self._fs.exists(self._path(self._pointer(name))):

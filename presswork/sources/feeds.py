@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ITEM = "feed string, link string, title string, author string, published_at string, snippet string, error string"
 
@@ -53,7 +54,7 @@ def fetch_feeds(urls: DataFrame, fetch: Callable[[str], str], concurrency: int =
                     rows += [{"feed": url, "error": None, **item} for item in parse_feed(fetch(url))]
                 except Exception as e:  # an error is a value here: one feed must not end the batch
                     rows.append({"feed": url, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return urls.select("url").repartition(concurrency).mapInPandas(run, ITEM)
 
@@ -122,8 +123,6 @@ def main_text(page: str | None) -> str | None:
 
 
 def main_text_udf():
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.StringType())
     def extracted(pages: pd.Series) -> pd.Series:
         return pages.map(main_text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +39,12 @@ def attach_stream(articles: DataFrame, key: str, threshold: float = 0.74, hours:
     def step(_key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         clusters = OnlineClusters(threshold, hours)
         if state.exists:
-            ids, sums, counts, names, updated = state.get
-            clusters.ids = list(ids)
-            clusters.sums = [np.asarray(x, dtype=float) for x in sums]
-            clusters.counts = [int(x) for x in counts]
-            clusters.entities = [set(x) for x in names]
-            clusters.updated = [pd.Timestamp(x) for x in updated]
+            for cluster, total, count, names, updated in json.loads(state.get[0]):
+                clusters.ids.append(cluster)
+                clusters.sums.append(np.asarray(total, dtype=float))
+                clusters.counts.append(count)
+                clusters.entities.append(set(names))
+                clusters.updated.append(pd.Timestamp(updated))
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["ingested", "id"])
         out = []
         for r in rows.itertuples(index=False):
@@ -51,16 +52,14 @@ def attach_stream(articles: DataFrame, key: str, threshold: float = 0.74, hours:
             out.append((r.id, *clusters.add(r.id, pd.Timestamp(r.ingested), vector, [] if r.entities is None else [e for e in r.entities if e is not None])))
         latest = max(clusters.updated)
         live = [i for i, u in enumerate(clusters.updated) if latest - u <= pd.Timedelta(hours=hours)]
-        state.update((
-            [clusters.ids[i] for i in live], [clusters.sums[i].tolist() for i in live], [clusters.counts[i] for i in live],
-            [sorted(clusters.entities[i]) for i in live], [clusters.updated[i].isoformat() for i in live],
-        ))
+        kept = [(clusters.ids[i], clusters.sums[i].tolist(), clusters.counts[i], sorted(clusters.entities[i]), clusters.updated[i].isoformat()) for i in live]
+        state.update((json.dumps(kept),))
         yield pd.DataFrame(out, columns=["id", "topic_cluster_id", "similarity", "matched_by"])
 
     columns = articles.select("id", "ingested", "embedding", "entities", F.col(key).alias("__key"))
     return columns.groupBy("__key").applyInPandasWithState(
         step, "id string, topic_cluster_id string, similarity double, matched_by string",
-        "ids array<string>, sums array<array<double>>, counts array<int>, names array<array<string>>, updated array<string>", "append", "NoTimeout",
+        "clusters string", "append", "NoTimeout",
     )
 
 
