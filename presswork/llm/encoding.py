@@ -107,7 +107,7 @@ def encode(text: str, tokenizer, table: dict[bytes, np.ndarray] | None = None) -
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").dropDuplicates()
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], name: str, folder: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -151,4 +151,4 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*others, counts], names=[*(n for n in batch.schema.names if n != "text"), "tokens"])
 
     columns = df.select(F.col(id_col).cast("bigint").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in keep], F.col(text_col).alias("text"))
-    return columns.mapInArrow(run, ", ".join(["doc_id bigint", *(f"`{c}` string" for c in keep), "tokens int"]))
+    return columns.where("doc_id is not null").mapInArrow(run, ", ".join(["doc_id bigint", *(f"`{c}` string" for c in keep), "tokens int"]))

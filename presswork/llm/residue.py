@@ -196,7 +196,7 @@ def judged_pages(df: DataFrame, id_col: str = "id", title_col: str = "title", te
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["id", "label", "node", "text", "sim", "noise"])
 
     columns = df.select(F.col(id_col).cast("string").alias("id"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
-    return stash(columns.mapInArrow(run, "id string, label int, node binary, text string, sim bigint, noise array<int>"))
+    return stash(columns.where("id is not null").mapInArrow(run, "id string, label int, node binary, text string, sim bigint, noise array<int>"))
 
 
 def _bands(nodes: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def ends(df: DataFrame, kind: str, id_col: str, source_col: str, text_col: str,
 
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
     columns = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), title.alias("title"))
-    return columns.mapInArrow(run, "kind string, id string, source string, length bigint, state int, closing string")
+    return columns.where("id is not null").mapInArrow(run, "kind string, id string, source string, length bigint, state int, closing string")
 
 
 @F.pandas_udf(T.DoubleType())
