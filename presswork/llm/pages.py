@@ -22,12 +22,20 @@ STOP_FR = "le la les de des du et à en un une que qui dans pour par sur au aux
 STOP_ES = "el la los las de del y en un una que por con para al se su no es lo más como pero sus le ha o sin si según ni cuyo"
 STOP = frozenset(f"{STOP_EN} {STOP_DE} {STOP_FR} {STOP_ES}".split())
 
+# Names of sections and entries of menus.
+SECTIONS = frozenset(
+    "home world business technology tech politics culture sport sports weather opinion letters video videos podcasts markets science health travel arts money us uk "
+    "startseite ausland inland wirtschaft technik kultur meinung wetter mediathek börse politik wissen reise gesundheit "
+    "accueil monde économie sciences débats vidéos marchés politique météo société santé "
+    "portada mundo economía mercados política deportes cultura ciencia vídeos tiempo opinión sociedad salud".split()
+)
 _BULLET = re.compile(r"^(?:[•·*▪»›>]+|[-–—](?=\s))\s*")
 _TRAIL = re.compile(r"[\s»›]+$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _LETTER = re.compile(r"[^\W\d_]")
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|‘[^’]*’(?!\w)|\"[^\"]*\"")
 _END = re.compile(r"[.!?…](?:[”“»’\"')\]]|\s*\[\^[^\]]*\])*$|[”»]$")
+_TWO = re.compile(r"[a-zß-ÿ”»][.!?][”»\"]?\s+[A-ZÀ-Þ„“«¿¡]")  # a sentence and the next one's beginning
 _SEPARATOR = re.compile(r"\s*[|·•»›>]\s*|\s+/\s+|\s{3,}")
 
 #: Headings over recommended pages.
@@ -44,7 +52,7 @@ _SITE_LINE = re.compile(
     "^(?:"
     # access and navigation
     r"(?:log|sign) ?(?:in|out|up)\b.{0,40}|subscribe(?: now)?\b.{0,30}|register|my account|account|menu\b.{0,40}|search|home|skip to .{0,30}|(?:back to |go to )?top|back to .{0,20}|text size\b.*|save for later|print|e-?mail|copy link|share\b.{0,60}"
-    r"|anmelden\b.{0,30}|abonnieren|mein konto|startseite|nach oben|zum inhalt.{0,20}|link kopieren.{0,30}|drucken|teilen.{0,30}|merken"
+    r"|anmelden\b.{0,30}|abonnieren|mein konto|startseite|nach oben|zum inhalt.{0,20}|link kopieren.{0,30}|drucken|(?:artikel|beitrag|seite) (?:teilen|drucken|merken)|teilen.{0,30}|merken"
     r"|se connecter\b.{0,30}|s['’]abonner|mon compte|accueil|retour en haut|aller au contenu|partager\b.{0,30}|imprimer|copier le lien.{0,30}"
     r"|iniciar sesi[óo]n.{0,30}|suscr[íi]b\w+.{0,30}|mi cuenta|portada|volver arriba|ir al contenido|compartir\b.{0,30}|copiar enlace.{0,30}|imprimir|guardar"
     # consent
@@ -68,7 +76,7 @@ _SITE_LINE = re.compile(
 #: Statements about rights, origin and liability, in any length.
 _NOTICE = re.compile(
     r"©|\(c\) \d{4}|copyright|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|no part of this (?:material|article|page|site)|may not be (?:copied|reproduced|republished)|written (?:consent|permission) of"
-    r"|nachdruck nur|nachdruck.{0,30}verboten|toute reproduction|prohibida la reproducción|reproduction interdite|views expressed|opinions expressed|first appeared (?:in|on)|erschien zuerst|a paru dans|publicad[oa] (?:originalmente|por primera vez)|apareció (?:primero )?en\b"
+    r"|nachdruck nur|nachdruck.{0,30}verboten|toute reproduction|prohibida la reproducción|reproduction interdite|views expressed|opinions expressed|first appeared (?:in|on)|erschien zuerst|a paru dans|publicad[oa] (?:originalmente|por primera vez)|(?:apareció|se publicó) (?:primero |originalmente )?en\b|publiée? (?:d['’]abord|initialement)|zuerst erschienen"
     r"|is (?:published|owned|operated) by|quotes are delayed|advice to buy or sell|keine anlageberatung|(?:diese|unsere) (?:seite|website) (?:nutzt|verwendet)|ce site (?:dépose|utilise)|este sitio (?:usa|utiliza)|this (?:site|website|page) uses"
 )
 _ADDRESS = re.compile(r"\b(?:you|your|yours|we|our|us|sie|ihre?[nrms]?|wir|unser\w*|vous|votre|vos|nous|notre|nos|usted|su consentimiento|nosotros|nuestr\w+|usamos|acepta)\b")
@@ -79,7 +87,7 @@ _IMPERATIVE = re.compile(r"^(?:sign up\b|subscribe\b|download\b|get the\b|join\b
 
 
 #: Cheap necessary conditions of the two patterns above: one of these substrings.
-_NOTICE_KEYS = ("©", "(c)", "copyright", "rights", "rechte", "droits", "derechos", "no part", "not be", "written", "nachdruck", "reprodu", "views", "opinions", "appeared", "erschien", "a paru", "publicad", "apareció", "is published", "is owned", "is operated", "delayed", "advice", "beratung", "nutzt", "verwendet", "dépose", "utilis", "usa ", "utiliza", "uses")
+_NOTICE_KEYS = ("©", "(c)", "copyright", "rights", "rechte", "droits", "derechos", "no part", "not be", "written", "nachdruck", "reprodu", "views", "opinions", "appeared", "erschien", "a paru", "public", "apareció", "publié", "erschienen", "is published", "is owned", "is operated", "delayed", "advice", "beratung", "nutzt", "verwendet", "dépose", "utilis", "usa ", "utiliza", "uses")
 _OFFER_KEYS = ("cookie", "track", "trace", "partner", "partenaire", "socios", "privacy", "datenschutz", "data", "our ", "newsletter", "inbox", "brief", "boletín", "infolettre", "subscri", "abonn", "suscri", "sign up", "confiden", "newsdesk", "tip?", "download", "app", "members", "reading", "read this", "service", "which stories", "choose how", "choices", "page", "list", "personal", "advertis", "publici", "werbung", "audience", "kostenlos", "gratis", "gratuit", "free")
 
 
@@ -109,9 +117,11 @@ def classify(line: str) -> tuple[int, bool]:
     low = bare.lower()
     core = low.rstrip(" .")
     if len(low) < 160:
+        if _TEASER.match(low):
+            return NOISE, item
         if TEASER_HEADS.match(core):
             return HEADER, item
-        if _TEASER.match(low) or _SITE_LINE.match(core):
+        if _SITE_LINE.match(core):
             return NOISE, item
         if link_density(line) > 0.7 or (link_density(bare) > 0.7 and not _END.search(bare)):
             return NOISE, item
@@ -123,8 +133,10 @@ def classify(line: str) -> tuple[int, bool]:
     words = _WORD.findall(low)
     if offer and (_IMPERATIVE.match(low) or (_ADDRESS.search(unquoted) and not low.startswith(("“", "„", "«")))) and _OFFER.search(unquoted):
         return NOISE, item
+    if 3 <= len(words) <= 25 and sum(w in SECTIONS for w in words) >= 0.6 * len(words):
+        return NOISE, item
     n, ended = len(words), bool(_END.search(bare[-60:]))
-    if n >= 10 and (ended or n >= 22) or n >= 5 and ended and stop_density(words) >= 0.15 and not item:
+    if n >= 10 and (ended or n >= 22 or _TWO.search(bare)) or n >= 5 and ended and stop_density(words) >= 0.15 and not item:
         return BODY, item
     if n <= 2 and not item and not any(c.isdigit() for c in low):
         return NOISE, item
@@ -177,7 +189,8 @@ def label_lines(lines: list[str], title: str | None = None, cache: dict | None =
             # a line without the mark of those before it, or a short one just above a paragraph, is a subhead
             after = near(i, 1)
             odd = prefixed or _QUOTED.match(lines[i].strip()) or (length >= 2 and len(lines[i].split()) <= 7)
-            if length and after >= 0 and first[after][0] == BODY and odd:
+            alone = not length and len(lines[i].split()) <= 8
+            if after >= 0 and first[after][0] == BODY and (alone or length and odd):
                 teaser, labels[i] = False, BODY
             else:
                 length, labels[i] = length + 1, NOISE

@@ -71,7 +71,7 @@ def end_of(text: str, page: bool, title: str | None = None, cache: dict | None =
         return OPEN, len(base), ""
     lines = base.replace("\r", "").split("\n")
     tail = lines[-1].strip()
-    if _STOPPED.search(tail):
+    if _STOPPED.search(tail) or page and residue.message_line(tail):
         return CLOSED, len(base), ""
     if page:
         label = pages.label_lines(lines, title, cache)[-1]
@@ -79,7 +79,7 @@ def end_of(text: str, page: bool, title: str | None = None, cache: dict | None =
             # a footer that is whole ends the text; one that matches nothing known may have been cut
             return (DOUBTFUL if pages.classify(lines[-1])[0] == pages.OPEN else CLOSED), len(base), ""
     words, item = len(pages._WORD.findall(tail)), tail[:1] in "-•*·"
-    if not item and (words >= (8 if page else 6) and not re.search(r"\w\.\w+$", tail) or re.search(r"[.!?”»\]]\s+\S", tail)):
+    if not item and (words >= (3 if page else 6) and not re.search(r"\w\.\w+$", tail) or re.search(r"[.!?”»\]]\s+\S", tail)):
         return OPEN, len(base), ""
     return DOUBTFUL, len(base), ""
 
