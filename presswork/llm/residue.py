@@ -72,8 +72,9 @@ _LATIN = frozenset(
 )
 _UNFILLED = re.compile(
     r"\{\{\s*[\w.]+\s*\}\}|\{%\s*[\w. ]+\s*%\}|[$#]\{[\w.]+\}|%%\w+%%|%\(\w+\)[sd]|\b__[A-Z_]+__\b|<%=?\s*[\w.]+\s*%>|\[\[\w+\]\]|\{\d\}|\$\$\w+\$\$|@@\w+@@|\[object Object\]|(?<!\w)\[(?!SIC\])[A-Z][A-Z_ ]{2,24}\](?!\w)|%[A-Z][A-Z_]{2,}%"
+    r"|\[(?i:insert|add|your) [^\]\n]{2,80}\]|\bTK\b[^\n]{0,80}\bTK\b"
 )
-_TRIGGERS = ("{", "%", "__", "[", "$$", "@@", "undefined")
+_TRIGGERS = ("{", "%", "__", "[", "$$", "@@", "TK")
 
 
 def filler_share(words: list[str]) -> float:
@@ -128,9 +129,14 @@ def judge(text: str, title: str | None, cache: dict | None = None) -> tuple[int,
     messages = [x for x in suspects if _remembered(x, cache)]
     if not messages:
         return CLEAN, whole, labels
+    # filler within an article makes it unfinished, whatever its share
+    if any(len(x) > 60 and filler_share(pages._WORD.findall(x.lower())) >= 0.6 for x in messages):
+        unfinished = UNFILLED
+    else:
+        unfinished = CLEAN
     said = sum(map(len, messages))
     rest = sum(len(x) for x in main if x not in messages and len(x) > 60)
-    return RESIDUE if said > rest else CLEAN, "\n".join(dict.fromkeys([*main, *messages])), labels
+    return RESIDUE if said > rest else unfinished, "\n".join(dict.fromkeys([*main, *messages])), labels
 
 
 _SLUG = re.compile(r"/?\b\w+(?:-\w+){2,}")
