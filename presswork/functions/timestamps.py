@@ -79,6 +79,11 @@ def canonical(text: Column) -> Column:
     return out
 
 
+def constant_map(values: dict[str, str]) -> Column:
+    """A map as one literal text, which Spark folds into a constant."""
+    return F.str_to_map(F.lit("\n".join(f"{k}={v}" for k, v in sorted(values.items()))), F.lit("\n"), F.lit("="))
+
+
 def _int(part: Column) -> Column:
     return part.try_cast("int")
 
@@ -103,7 +108,7 @@ def parse(stamp: Column) -> Column:
 
 
 def _from_parts(p: Column) -> Column:
-    months = F.create_map(*[F.lit(x) for kv in sorted(month_numbers().items()) for x in kv])
+    months = constant_map({k: str(v) for k, v in month_numbers().items()})
     year = F.when(F.length(p[1]) == 2, F.concat(F.when(p[1] < "50", "20").otherwise("19"), p[1])).otherwise(p[1])
     hour, half = F.coalesce(_int(p[4]), F.lit(0)), F.substring(p[8], 1, 1)
     hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
@@ -115,7 +120,7 @@ def _from_parts(p: Column) -> Column:
     micros = F.when(p[0] == "epoch", count * 1_000_000 + F.coalesce(fraction, F.lit(0))).when(p[0] == "milli", count * 1000).when(p[0] == "micro", count).when(p[0] == "nano", (count / 1000).cast("bigint"))
     parts = F.struct(
         F.when(dated, _int(year)).alias("y"),
-        F.when(p[0] == "word", F.try_element_at(months, p[2])).otherwise(_int(p[2])).alias("m"),
+        F.when(p[0] == "word", _int(F.try_element_at(months, p[2]))).otherwise(_int(p[2])).alias("m"),
         _int(p[3]).alias("d"),
         hour.alias("h"),
         F.coalesce(_int(p[5]), F.lit(0)).alias("minute"),
@@ -182,8 +187,7 @@ def to_instant(parsed: Column, own_zone: Column, month_first: Column, bare_zone:
     without one; month_first: whether all-figure dates begin with the month. Offsets win over
     a zone name beside them.
     """
-    known = zone_table()
-    proper = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    proper = constant_map(zone_table())
 
     def body(x: Column) -> Column:
         spelled = x["z"]

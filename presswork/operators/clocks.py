@@ -86,8 +86,8 @@ def _hours(start: Column, end: Column) -> Column:
 def normalise(articles: DataFrame, clocks: DataFrame, zones: list[str] | None = None) -> DataFrame:
     """(id, field, utc): every stamp of the two fields that names an instant, as that instant."""
     stamps = parsed_stamps(articles)
-    valid = [*ts.zone_table().values(), "UTC"]
-    known = clocks.where(F.col("time_zone").isin(*valid)).select("source_domain", "time_zone", "date_order").dropDuplicates(["source_domain"])
+    valid = ts.constant_map({z: z for z in [*ts.zone_table().values(), "UTC"]})
+    known = clocks.where(F.try_element_at(valid, F.col("time_zone")).isNotNull()).select("source_domain", "time_zone", "date_order").dropDuplicates(["source_domain"])
     unknown = stamps.where("source_domain is not null").join(known, "source_domain", "left_anti")
     clock = known.unionByName(estimate_clocks(unknown, zones).select("source_domain", "time_zone", "date_order"))
     joined = stamps.join(clock, "source_domain", "left")
