@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import json
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,15 +80,38 @@ def json_part(answer: Column) -> Column:
 
 
 def repair_json(raw: str) -> str:
-    """Mend what models get wrong in JSON: line ends and quotes within values, trailing commas, control characters."""
-
-    def value(m: re.Match) -> str:
-        inner = m[2].replace("\\", "\\\\").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t").replace('"', '\\"')
-        return m[1] + inner + m[3]
-
-    text = re.sub(r'(:\s*")(.*?)("(?=\s*[,}\]]))', value, raw, flags=re.DOTALL)
-    text = re.sub(r",\s*([}\]])", r"\1", text)
-    return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", lambda m: f"\\u{ord(m[0]):04x}", text)
+    """Mend what models get wrong in JSON: raw line ends, quotes and control characters within
+    strings, and commas before a closing bracket.
+
+    One walk over the text: a quote closes a string only where the next visible character can
+    follow a string, any other quote belongs to it.
+    """
+    out: list[str] = []
+    inside, i = False, 0
+    while i < len(raw):
+        c = raw[i]
+        following = raw[i + 1 :].lstrip()[:1]
+        if inside and c == "\\" and i + 1 < len(raw):
+            out.append(raw[i : i + 2])
+            i += 2
+            continue
+        if c == '"':
+            if not inside:
+                inside = True
+                out.append(c)
+            elif following in ("", ",", ":", "}", "]"):
+                inside = False
+                out.append(c)
+            else:
+                out.append('\\"')
+        elif inside and c < " ":
+            out.append(json.dumps(c)[1:-1])
+        elif not inside and c == "," and following in ("}", "]"):
+            pass
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
 
 
 def repair_json_udf():

@@ -10,6 +10,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+# Fixed value: the words and marks that divide a query into topics.
+SPLITS = r"(?i)\b(?:and|vs\.?|versus|compared?\s+to|compare|with|&)\b|,"
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case of ASCII letters only."""
     return F.translate(c, UPPER, LOWER)
@@ -39,7 +43,7 @@ def keywords(query: Column, least: int = 3) -> Column:
 
 def sub_topics(query: Column) -> Column:
     """Parts of a free query between conjunctions, comparisons and commas; the whole where none is left."""
-    parts = F.filter(F.transform(F.split(query, r"(?i)\b(?:and|vs\.?|versus|compared?\s+to|compare|with|&)\b|,"), lambda p: F.trim(p)), lambda p: F.length(p) >= 3)
+    parts = F.filter(F.transform(F.split(query, SPLITS), lambda p: F.trim(p)), lambda p: F.length(p) >= 3)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(query)))
 
 

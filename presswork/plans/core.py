@@ -463,6 +463,77 @@ def story_export(spark, d):
     return s.select("id", F.to_json(F.struct(F.lit("NewsArticle").alias("@type"), F.col("headline"), F.col("deck").alias("description"), F.col("source_domains").alias("isBasedOn"))).alias("json"))
 
 
+# --- archives, links, models
+
+
+@query(f"""WITH {ART}, h AS (SELECT DISTINCT url, strftime(ingested, '%Y%m%d%H%M%S') AS stamp, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM art WHERE contains(lower(url), 'water') OR contains(lower(url), 'board')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY stamp DESC, url) AS rn FROM h) SELECT url, stamp FROM r WHERE rn <= 7 ORDER BY stamp DESC, url LIMIT 50""")
+def archive_listing(spark, d):
+    hits = views.articles(spark, d, "url").select("url", F.date_format("ingested", "yyyyMMddHHmmss").alias("stamp")).distinct()
+    return ingest.archive_hits(hits, "Water of Board", 50, 8)
+
+
+@query("""WITH l AS (SELECT url, min(id) AS id FROM articles WHERE source_domain < 'f' GROUP BY url), u AS (SELECT url, row_number() OVER (ORDER BY url) AS pos FROM (SELECT DISTINCT url FROM articles))
+    SELECT CAST(u.pos AS INT) AS pos, u.url, l.id IS NULL AS fetch FROM u LEFT JOIN l USING (url)""")
+def linked_articles(spark, d):
+    a = table(spark, d, "articles").select("url", "id", "title", "source_domain")
+    wanted = a.select("url").distinct().withColumn("pos", F.row_number().over(Window.orderBy("url")))
+    return ingest.links_articles(wanted, a.where("source_domain < 'f'"), views.sources(spark, d)).select("pos", "url", "fetch")
+
+
+@query("SELECT id, headline, confidence FROM compiled_stories")
+def parsed_answers(spark, d):
+    s = views.stories(spark, d)
+    answer = F.concat(F.lit("<think>plan</think>Here:\n```json\n"), F.to_json(F.struct("headline", "confidence")), F.lit("\n```"))
+    return s.select("id", st.parse_answer(answer, "headline string, confidence double").alias("a")).select("id", "a.headline", "a.confidence")
+
+
+@query("WITH m AS (SELECT min(id) AS victim, max(id) AS survivor FROM topic_clusters) SELECT DISTINCT a.id, CASE WHEN a.topic_cluster_id = m.victim THEN m.survivor ELSE a.topic_cluster_id END AS topic_cluster_id FROM articles a, m")
+def repointed_articles(spark, d):
+    merges = views.clusters(spark, d).agg(F.min("id").alias("victim"), F.max("id").alias("survivor"))
+    return cl.repoint(table(spark, d, "articles").select("id", "topic_cluster_id").distinct(), merges)
+
+
+@query("""WITH s AS (SELECT label, unnest(embedding) AS v, unnest(range(1, 65)) AS i FROM embeddings), m AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS v FROM s GROUP BY 1, 2), c AS (SELECT label, list(v ORDER BY i) AS c FROM m GROUP BY 1)
+    SELECT vec_id, CAST(arg_max(c.label, (round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.c), 9), -c.label)) AS INT) AS nearest FROM embeddings e, c GROUP BY vec_id""")
+def nearest_labels(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    centres = e.groupBy("label").agg(F.array(*[F.avg(F.col("embedding")[i]) for i in range(64)]).alias("centroid")).select(F.lpad(F.col("label").cast("string"), 4, "0").alias("topic_cluster_id"), "centroid")
+    best = cl.best_centroid(e.select(F.col("vec_id").alias("id"), "embedding"), centres)
+    return best.select(F.col("id").alias("vec_id"), F.col("topic_cluster_id").cast("int").alias("nearest"))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS told FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT e.user_id, count(*) FILTER (WHERE e.event_type <> 'purchase' AND e.ts > l.told) AS new FROM events e LEFT JOIN l USING (user_id) GROUP BY 1""")
+def activity_since_refresh(spark, d):
+    e = table(spark, d, "events")
+    last = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("told"))
+    return e.join(last, "user_id", "left").groupBy("user_id").agg(F.count_if((F.col("event_type") != "purchase") & (F.col("ts") > F.col("told"))).alias("new"))
+
+
+@query("SELECT domain, source_domain IS NOT NULL AS used FROM sources LEFT JOIN (SELECT DISTINCT source_domain FROM articles) ON source_domain = domain")
+def used_sources(spark, d):
+    used = table(spark, d, "articles").select("source_domain").distinct()
+    return views.sources(spark, d).join(used, F.col("domain") == F.col("source_domain"), "left").select("domain", F.col("source_domain").isNotNull().alias("used"))
+
+
+@query()
+def compiled_offline(spark, d):
+    a = views.articles(spark, d, "topic_cluster_id", "source_domain", "title", "content")
+    work = stories.without_story(views.clusters(spark, d), views.stories(spark, d), a, 2, 50)
+    from presswork.operators import models
+    from presswork.plans import pipeline
+
+    return models.synthesize(pipeline.requests_for(work, a, views.sources(spark, d))).select("id", "ok", F.size("answer.source_domains").alias("domains"))
+
+
+@query()
+def hashed_embeddings(spark, d):
+    from presswork.operators import models
+
+    a = table(spark, d, "articles").select("id", "title", "content").dropDuplicates(["id"])
+    return a.select("id", F.round(models.embed_udf()(tx.excerpt(F.col("title"), F.col("content"), 600))[0], 6).alias("first"))
+
+
 # --- scalar functions on whole columns
 
 
