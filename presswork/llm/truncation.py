@@ -6,7 +6,7 @@
    line that need not end with a full stop, such as a list item) or *closed*.
 2. Discrete hazards by length: of the texts of a source that reach a length, the share that
    stops there, against the hazard of the neighbouring lengths, by window functions. Lengths with
-   a significant excess (Benjamini-Hochberg at 1 %) are field limits.
+   a significant excess (Benjamini-Hochberg at 0.01 %, since thousands of lengths are no limits) are field limits.
 3. Texts with open ends are cases; doubtful ones are cases at significant lengths.
 
 An ellipsis that closes many different texts in the same words is a manner of closing, not a cut.
@@ -32,7 +32,7 @@ from presswork.session import stash
 
 NEIGHBOURS = 60  # lengths on either side that the hazard at a length is held against
 LEAST = 3  # texts that stop at a length before it is tested
-FALSE_DISCOVERY = 0.01
+FALSE_DISCOVERY = 0.0001
 CLOSED, DOUBTFUL, OPEN, ELLIPSIS = 0, 1, 2, 3
 
 _INVITATION = re.compile(
@@ -79,7 +79,7 @@ def end_of(text: str, page: bool, title: str | None = None, cache: dict | None =
             # a footer that is whole ends the text; one that matches nothing known may have been cut
             return (DOUBTFUL if pages.classify(lines[-1])[0] == pages.OPEN else CLOSED), len(base), ""
     words, item = len(pages._WORD.findall(tail)), tail[:1] in "-•*·"
-    if not item and (words >= (3 if page else 6) and not re.search(r"\w\.\w+$", tail) or re.search(r"[.!?”»\]]\s+\S", tail)):
+    if not item and (words >= 3 and not re.search(r"\w\.\w+$", tail) or re.search(r"[.!?”»\]]\s+\S", tail)):
         return OPEN, len(base), ""
     return DOUBTFUL, len(base), ""
 
