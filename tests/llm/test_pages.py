@@ -77,6 +77,25 @@ def test_labels_spread_to_near_duplicates(spark):
     assert "00" in got and "02" not in got
 
 
+
+def test_spreading_reaches_the_stated_agreement(spark):
+    rng = random.Random(5)
+    words = "harbour council ledger river meadow window answer letter winter bridge market garden button orchard lantern copper".split()
+    known, near, far = [], [], []
+    for _ in range(12):
+        common = " ".join(rng.choice(words) for _ in range(54))
+        known.append("access denied " + common)
+        near.append("entry stopped " + " ".join(common.split()[:-2]) + " old boat")
+        far.append("entry stopped " + " ".join(rng.sample(common.split(), 54)))
+    memo = {}
+    for a, b in zip(known, near):
+        s, t = (set(residue.shingles(residue.masked(x, None), memo).tolist()) for x in (a, b))
+        assert 0.8 <= len(s & t) / len(s | t) < 0.9
+    df = spark.createDataFrame(rows(*known, *near, *far, title=None), PAGE)
+    got = {r["id"] for r in residue.residue_ids(residue.judged_pages(df)).collect()}
+    assert got == {f"{i:02d}" for i in range(24)}
+
+
 def test_repeated_lines(spark):
     prompt, long_line = "Share this with your friends!", "legal words and more of them, " * 60
     data = []
