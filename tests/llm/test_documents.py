@@ -115,6 +115,23 @@ def test_spam_and_content(spark):
     assert linkspam.spam(df.limit(0)).count() == 0
 
 
+
+def test_stitched_share_decides_below_the_half(spark):
+    rng = random.Random(4)
+    words = "harbour council ledger river meadow window answer letter winter bridge market garden button orchard lantern copper".split()
+    prose = lambda: " ".join(" ".join(rng.choice(words) for _ in range(9)).capitalize() + "." for _ in range(8))
+    items = lambda: ", ".join(" ".join(rng.choice(words) for _ in range(3)) for _ in range(11))
+    page, own = prose() + "\n" + items(), prose() + "\n" + items()
+    for text in (page, own):
+        assert 0.25 < sum(linkspam.shape(text)) <= 0.45
+    # the same phrases at other hosts start at another word, so that steps of five would not meet
+    shifted = page.replace("\n", " and\none two, ").split(" ", 2)[2]
+    rows = [(1, page, "h1"), (2, "So " + shifted, "h2"), (3, "Now it " + shifted, "h3"), (4, own, "h1"), (5, own, "h1"), (6, own, "h2")]
+    rows += [(7 + i, prose() + " " + prose(), f"h{i}") for i in range(3)]
+    df = spark.createDataFrame([(i, t, h, None, None) for i, t, h in rows], DOCS)
+    got = {r["id"] for r in linkspam.spam(df).collect()}
+    assert 1 in got and not got & {4, 5, 6, 7, 8, 9}
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data, name):
     got = QUERIES[name](spark, data).toPandas()
