@@ -86,10 +86,21 @@ class OnlineClusters:
         self.counts: list[int] = []
         self.entities: list[set[str]] = []
         self.updated: list[pd.Timestamp] = []
+        self.latest: pd.Timestamp | None = None
+        self.recent: list[int] | None = None  # clusters that are not too old at ``latest``
 
     def add(self, article: str, when: pd.Timestamp, vector: np.ndarray | None, entities: list[str]) -> tuple[str, float, str]:
         """(cluster, best similarity, matched_by) of the next article."""
-        live = [i for i in range(len(self.ids)) if self.counts[i] and when - self.updated[i] <= pd.Timedelta(hours=self.hours)]
+        span = pd.Timedelta(hours=self.hours)
+        if self.recent is None:
+            self.recent = list(range(len(self.ids)))  # a stream's state is put in before the first article
+        if self.latest is None or when >= self.latest:
+            # no article of this time or later sees a cluster that is too old now
+            self.latest, self.recent = when, [i for i in self.recent if when - self.updated[i] <= span]
+            known = self.recent
+        else:
+            known = range(len(self.ids))
+        live = [i for i in known if self.counts[i] and when - self.updated[i] <= span]
         live.sort(key=lambda i: (self.updated[i], self.ids[i]), reverse=True)
         best, at = 0.0, -1
         if vector is not None and np.linalg.norm(vector) > 0:
@@ -117,6 +128,7 @@ class OnlineClusters:
             self.counts.append(0)
             self.entities.append(set())
             self.updated.append(when)
+            self.recent.append(at)
         if vector is not None and self.counts[at] < self.sample and len(self.sums[at]) == len(vector):
             self.sums[at] = self.sums[at] + vector
             self.counts[at] += 1
@@ -125,11 +137,12 @@ class OnlineClusters:
         return self.ids[at], best, how
 
 
-def attach_online(articles: DataFrame, key: str, threshold: float = 0.74, hours: float = 24) -> DataFrame:
+def attach_online(articles: DataFrame, key: str | None = None, threshold: float = 0.74, hours: float = 24) -> DataFrame:
     """(id, topic_cluster_id, similarity, matched_by), article by article in order of ingestion.
 
-    The order is part of the definition, so one key's articles are one sequence; choose a key (a
-    section, a language) that divides the stream. attach_batch is the form for unbounded keys.
+    The order is part of the definition, so all articles are one sequence, in one task. A key (a
+    section, a language) divides the stream where no story may cross it: an article never joins a
+    cluster of another key. attach_batch is the form for streams that one task does not hold.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +153,7 @@ def attach_online(articles: DataFrame, key: str, threshold: float = 0.74, hours:
             out.append((r.id, *state.add(r.id, r.ingested, vector, names)))
         return pd.DataFrame(out, columns=["id", "topic_cluster_id", "similarity", "matched_by"])
 
-    columns = articles.select("id", "ingested", "embedding", "entities", F.col(key).alias("__key"))
+    columns = articles.select("id", "ingested", "embedding", "entities", (F.col(key) if key else F.lit(0)).alias("__key"))
     return columns.groupBy("__key").applyInPandas(lambda rows: run(rows), "id string, topic_cluster_id string, similarity double, matched_by string")
 
 

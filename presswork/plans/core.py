@@ -274,7 +274,7 @@ def attached_batch(spark, d):
 def attached_online(spark, d):
     a = views.articles(spark, d, "embedding", "entities", "source_domain")
     recent = a.where(F.col("ingested") >= views.now() - F.expr("INTERVAL 1440 HOURS"))
-    return cl.attach_online(recent, "source_domain").select("id", "topic_cluster_id", F.round("similarity", 6).alias("similarity"), "matched_by")
+    return cl.attach_online(recent).select("id", "topic_cluster_id", F.round("similarity", 6).alias("similarity"), "matched_by")
 
 
 @query("WITH a AS (SELECT DISTINCT ON (id) * FROM articles) SELECT topic_cluster_id, count(DISTINCT entity) AS entities FROM (SELECT topic_cluster_id, unnest(entities) AS entity FROM a WHERE topic_cluster_id IS NOT NULL) GROUP BY 1")

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
@@ -104,6 +105,36 @@ def test_online_clusters(spark):
     assert got.set_index("id").loc["a05", "matched_by"] == "entity"
 
 
+def test_registered_clusters_cross_outlets(spark):
+    from presswork.plans import registry, views
+
+    data = "/root/testdata/sf0.01"
+    outlet = {r["id"]: r["source_domain"] for r in views.articles(spark, data, "source_domain").collect()}
+    got = registry.queries()["attached_online"](spark, data).toPandas()
+    joined = got[got.matched_by != "new"]
+    assert any(outlet[a] != outlet[c] for a, c in zip(joined.id, joined.topic_cluster_id))
+
+
+def test_online_clusters_in_plain_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"b{i:03d}", NOW + timedelta(hours=int(rng.integers(0, 300))), rng.normal(size=3).tolist(), [f"n{x}" for x in rng.integers(0, 9, 3)], "ab"[i % 2]) for i in range(120)]
+    got = {r["id"]: (r["topic_cluster_id"], r["matched_by"]) for r in cl.attach_online(spark.createDataFrame(rows, SCHEMA)).collect()}
+    clusters, want = {}, {}
+    for a, when, v, names, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        live = sorted((c for c in clusters if when - clusters[c][2] <= timedelta(hours=24)), key=lambda c: (clusters[c][2], c), reverse=True)
+        cos = {c: float(np.mean(clusters[c][0][:20], axis=0) @ v / np.linalg.norm(np.mean(clusters[c][0][:20], axis=0)) / np.linalg.norm(v)) for c in live}
+        shared = {c: len(clusters[c][1] & set(names)) for c in live}
+        if live and max(cos.values()) >= 0.74:
+            want[a] = max(live, key=cos.get), "vector"
+        elif live and max(shared.values()) >= 2:
+            want[a] = max(live, key=shared.get), "entity"
+        else:
+            want[a] = a, "new"
+            clusters[a] = ([], set(), when)
+        vectors, known, _at = clusters[want[a][0]]
+        clusters[want[a][0]] = (vectors + [v], known | set(names), when)
+    assert got == want
+
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(_stream_rows(), SCHEMA)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
