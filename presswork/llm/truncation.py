@@ -9,7 +9,8 @@
    a significant excess (Benjamini-Hochberg at 0.01 %, since thousands of lengths are no limits) are field limits.
 3. Texts with open ends are cases; doubtful ones are cases at significant lengths.
 
-An ellipsis that closes many different texts in the same words is a manner of closing, not a cut.
+An ellipsis that closes many different texts in the same words is a manner of closing, not a cut;
+copies of one text count once.
 Defined cases: null, empty and blank texts are no cases; rows delivered twice count once; a null
 source is a source of its own; empty tables give an empty result; further columns are ignored.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,24 +86,30 @@ def end_of(text: str, page: bool, title: str | None = None, cache: dict | None =
     return DOUBTFUL, len(base), ""
 
 
+def before_closing(text: str, length: int, closing: str) -> str:
+    """Digest of a text without its mark of a cut and its last sentence, the closing."""
+    words = " ".join(text[:length].lower().split())
+    return xxhash.xxh3_128_hexdigest(words.removesuffix(closing).rstrip().encode())
+
+
 def ends(df: DataFrame, kind: str, id_col: str, source_col: str, text_col: str, title_col: str | None, page: bool) -> DataFrame:
-    """(kind, id, source, length, state, closing) of every text."""
+    """(kind, id, source, length, state, closing, before) of every text; ``before`` for ellipses only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string())
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string())
         for batch in batches:
             rows = []
             for i, source, text, title in zip(*(c.to_pylist() for c in batch.columns)):
                 if text and text.strip():
                     state, length, closing = end_of(text, page, title, cache)
-                    rows.append((kind, i, source, length, state, closing))
+                    rows.append((kind, i, source, length, state, closing, before_closing(text, length, closing) if state == ELLIPSIS else None))
             columns = list(zip(*rows)) if rows else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "id", "source", "length", "state", "closing"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "id", "source", "length", "state", "closing", "before"])
 
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
     columns = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), title.alias("title"))
-    return columns.where("id is not null").mapInArrow(run, "kind string, id string, source string, length bigint, state int, closing string")
+    return columns.where("id is not null").mapInArrow(run, "kind string, id string, source string, length bigint, state int, closing string, before string")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -137,12 +145,12 @@ def limits(found: DataFrame) -> DataFrame:
 
 def truncated(found: DataFrame) -> DataFrame:
     """(kind, id, source) of the cases among ``found``, which holds the ends of all texts."""
-    manner = found.where(F.col("state") == ELLIPSIS).select("kind", "closing", "id").distinct().groupBy("kind", "closing").agg(F.count("*").alias("n"))
-    total = found.where(F.col("state") == ELLIPSIS).groupBy("kind").agg(F.countDistinct("id").alias("all"))
+    manner = found.where(F.col("state") == ELLIPSIS).select("kind", "closing", "before").distinct().groupBy("kind", "closing").agg(F.count("*").alias("n"))
+    total = found.where(F.col("state") == ELLIPSIS).groupBy("kind").agg(F.countDistinct("closing", "before").alias("all"))
     manner = manner.join(total, "kind").where((F.col("n") >= 3) & (F.col("n") >= 0.05 * F.col("all")) & (F.size(F.split("closing", " ")) >= 3)).select("kind", "closing")
     judged = found.join(manner.withColumn("customary", F.lit(True)), ["kind", "closing"], "left")
     state = F.when(F.col("state") == ELLIPSIS, F.when(F.col("customary"), CLOSED).otherwise(OPEN)).otherwise(F.col("state"))
-    judged = judged.withColumn("state", state).drop("customary", "closing")
+    judged = judged.withColumn("state", state).drop("customary", "closing", "before")
     at = limits(judged).select(F.col("kind").alias("k"), F.col("source").alias("s"), F.col("length").alias("l"), F.lit(True).alias("limit"))
     full = judged.join(at, (F.col("kind") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("length") == F.col("l")), "left")
     return full.where((F.col("state") == OPEN) | (F.col("state") == DOUBTFUL) & F.col("limit")).select("kind", "id", "source").distinct()

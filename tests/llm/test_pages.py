@@ -157,3 +157,14 @@ def test_truncation_by_limits(spark):
     assert shares["article", "b.test"] == 0 and shares["article", "a.test"] == len(cut)
     empty = truncation.article_and_story_ends(df.limit(0), stories.limit(0))
     assert truncation.truncated(empty).count() == 0
+
+
+def test_copies_of_a_cut_text_are_no_manner_of_closing(spark):
+    cut = BODY + "\nMembers of the public were told that the vote would be..."
+    data = [(f"c{i}", None, cut, f"{'abc'[i % 3]}.test", "x", 1) for i in range(9)]
+    data += [(f"m{i}", None, f"{BODY} Item {i}.\nAnd so it goes on...", "d.test", "x", 1) for i in range(9)]
+    stories = spark.createDataFrame([], "id string, llm_provider string, body string")
+    found = truncation.article_and_story_ends(spark.createDataFrame(data, PAGE), stories)
+    cases = truncation.truncated(found)
+    assert {r["id"] for r in cases.collect()} == {f"c{i}" for i in range(9)}
+    assert {r["source"]: r["truncated"] for r in truncation.shares(found, cases).collect()} == {"a.test": 3, "b.test": 3, "c.test": 3, "d.test": 0}
