@@ -1,10 +1,13 @@
 """Lines that one source repeats in many documents (problem 5).
 
-Text is cut into chunks by content, not by position: a chunk ends where a rolling hash of the
-last letters hits a mask, at a line's end, or at ``MAX_CHUNK`` letters; lines of fewer than
-``MIN_CHUNK`` letters stay whole. Occurrences are counted per chunk and source with map-side
-sums; only lines whose chunks are repeated survive to the exact count of distinct documents per
-whole line. Lines are compared by their letters alone, in lower case.
+The letters of a document are one stream, cut by content: a chunk ends where a rolling hash of the
+last ``WINDOW`` bytes hits a mask (or ``MAX_CHUNK`` bytes behind the last end), wherever a line
+ends. Whether an end lies at a place depends on the bytes before it alone, so a line holds the
+same chunks in every document, apart from those that reach into its neighbours. Of every chunk
+the distinct documents of its source are counted, with map-side sums; a line whose own chunks are
+not all repeated cannot be repeated and falls out. Lines too short to hold a chunk of their own are
+covered by none and stay. What is left is counted exactly, by distinct documents per whole line.
+Lines are compared by their letters alone, in lower case.
 
 Defined cases: null texts have no lines; a null source is a source of its own; lines without a
 letter never count; rows delivered twice count once; a line twice in one document counts once
@@ -24,33 +27,46 @@ from pyspark.sql import functions as F
 
 from presswork.session import stash
 
-MIN_CHUNK, MAX_CHUNK, MASK = 192, 1024, 0x7F  # letters; one boundary in 128 letters beyond MIN_CHUNK
-WINDOW = 16
+MAX_CHUNK, MASK, WINDOW = 1024, 0x1F, 8  # bytes of letters; one end in 32 places
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
 
 
-def boundaries(data: bytes) -> list[int]:
-    """Ends of the chunks of one line's letters (UTF-8)."""
-    if len(data) < 2 * MIN_CHUNK:
-        return [len(data)]
+def hits(data: bytes) -> np.ndarray:
+    """Places of a stream of letters (UTF-8) behind which the rolling hash ends a chunk."""
+    n = len(data)
     gear = _GEAR[np.frombuffer(data, dtype=np.uint8)]
-    rolled = np.zeros(len(data), dtype=np.uint64)
-    for k in range(WINDOW):
-        rolled[k:] += gear[: len(data) - k] << np.uint64(k)
-    ends, start = [], 0
-    for at in (np.flatnonzero((rolled >> np.uint64(11)) & np.uint64(MASK) == 0) + 1).tolist():
-        if at - start >= MIN_CHUNK and len(data) - at >= MIN_CHUNK:
-            while at - start > MAX_CHUNK:
-                start += MAX_CHUNK
-                ends.append(start)
-            ends.append(at)
-            start = at
-    while len(data) - start > MAX_CHUNK:
-        start += MAX_CHUNK
-        ends.append(start)
-    return [*ends, len(data)]
+    rolled = np.zeros(n, dtype=np.uint64)
+    for k in range(min(WINDOW, n)):
+        rolled[k:] += gear[: n - k] << np.uint64(k)
+    at = np.flatnonzero((rolled >> np.uint64(11)) & np.uint64(MASK) == 0) + 1
+    return at[at >= WINDOW]
+
+
+def _filled(places: list[int], start: int) -> list[int]:
+    """The places, with those between them by which no chunk is longer than MAX_CHUNK."""
+    ends = []
+    for at in places:
+        while at - start > MAX_CHUNK:
+            start += MAX_CHUNK
+            ends.append(start)
+        ends.append(at)
+        start = at
+    return ends
+
+
+def boundaries(data: bytes) -> list[int]:
+    """Ends of the chunks of a whole stream."""
+    places = hits(data).tolist()
+    return _filled(places if places and places[-1] == len(data) else [*places, len(data)], 0)
+
+
+def own_chunks(places: np.ndarray, begin: int, end: int) -> list[tuple[int, int]]:
+    """The chunks that the line at begin:end of a stream has in any document that carries it."""
+    own = places[np.searchsorted(places, begin + WINDOW) : np.searchsorted(places, end, side="right")].tolist()
+    ends = _filled(own[1:], own[0]) if len(own) > 1 else []
+    return list(zip([*own[:1], *ends], ends))
 
 
 def letters(line: str) -> str:
@@ -63,42 +79,44 @@ def _signed(x: int) -> int:
 
 
 def line_chunks(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(id, source, line_no, line binary(16), chunks array<bigint>): one row a line with a letter."""
+    """(id, source, line_no, line binary(16), head, tail, fresh array<bigint>): one row a line with
+    a letter, its first and last own chunk, and its chunks that no earlier line of the document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[bytes, list[int]] | None] = {}
+        known: dict[str, bytes] = {}
+        types = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         for batch in batches:
-            ids, sources, numbers, lines, chunks = [], [], [], [], []
+            rows = []
             for i, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for no, raw in enumerate((text or "").split("\n"), 1):
-                    if raw in seen:
-                        found = seen[raw]
-                    else:
+                pieces = []
+                for raw in (text or "").split("\n"):
+                    data = known.get(raw)
+                    if data is None:
                         data = letters(raw).encode()
-                        ends = boundaries(data) if data else []
-                        found = (xxhash.xxh3_128_digest(data), [_signed(xxhash.xxh3_64_intdigest(data[a:b])) for a, b in zip([0, *ends], ends)]) if data else None
                         if len(raw) < 400:
-                            if len(seen) > 50_000:
-                                seen.clear()
-                            seen[raw] = found
-                    if found:
-                        ids.append(i)
-                        sources.append(source)
-                        numbers.append(no)
-                        lines.append(found[0])
-                        chunks.append(found[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(sources, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.binary()), pa.array(chunks, pa.list_(pa.int64()))],
-                names=["id", "source", "line_no", "line", "chunks"],
-            )
+                            if len(known) > 50_000:
+                                known.clear()
+                            known[raw] = data
+                    pieces.append(data)
+                stream = b"".join(pieces)
+                places, at, counted = hits(stream), 0, set()
+                for no, data in enumerate(pieces, 1):
+                    if data:
+                        chunks = [_signed(xxhash.xxh3_64_intdigest(stream[a:b])) for a, b in own_chunks(places, at, at + len(data))]
+                        fresh = [c for c in dict.fromkeys(chunks) if c not in counted]
+                        counted.update(fresh)
+                        rows.append((i, source, no, xxhash.xxh3_128_digest(data), *((chunks[0], chunks[-1]) if chunks else (None, None)), fresh))
+                        at += len(data)
+            columns = list(zip(*rows)) if rows else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "source", "line_no", "line", "head", "tail", "fresh"])
 
     columns = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    return columns.where("id is not null").mapInArrow(run, "id string, source string, line_no bigint, line binary, chunks array<bigint>")
+    return columns.where("id is not null").mapInArrow(run, "id string, source string, line_no bigint, line binary, head bigint, tail bigint, fresh array<bigint>")
 
 
 def repeated_chunks(lines: DataFrame, least: int) -> DataFrame:
-    """(source, chunk): chunks with at least ``least`` occurrences in a source, an upper bound of its documents."""
-    counted = lines.select("source", F.explode("chunks").alias("chunk")).groupBy("source", "chunk").agg(F.count("*").alias("n"))
+    """(source, chunk): chunks that at least ``least`` documents of a source hold, where rows delivered twice count twice."""
+    counted = lines.select("source", F.explode("fresh").alias("chunk")).groupBy("source", "chunk").agg(F.count("*").alias("n"))
     return counted.where(F.col("n") >= least).select("source", "chunk")
 
 
@@ -106,10 +124,12 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, l
     """(id, line_no): every occurrence of a line that at least ``least`` documents of its source carry."""
     lines = stash(line_chunks(df, id_col, source_col, text_col))
     often = repeated_chunks(lines, least).select(F.col("source").alias("s"), "chunk")
-    # a repeated line's first and last chunks are repeated; both are needed, the exact count decides
-    ends = lines.select("id", "source", "line_no", "line", F.element_at("chunks", 1).alias("head"), F.element_at("chunks", -1).alias("tail"))
-    kept = ends.join(often, F.col("source").eqNullSafe(F.col("s")) & (F.col("head") == F.col("chunk")), "left_semi")
-    kept = kept.join(often, F.col("source").eqNullSafe(F.col("s")) & (F.col("tail") == F.col("chunk")), "left_semi").select("id", "source", "line_no", "line")
+    # all chunks of a repeated line are repeated; the first and the last are asked for, the exact count decides
+    plain = lines.select("id", "source", "line_no", "line", "head", "tail")
+    kept = plain.where("head is not null")
+    for end in ("head", "tail"):
+        kept = kept.join(often, F.col("source").eqNullSafe(F.col("s")) & (F.col(end) == F.col("chunk")), "left_semi")
+    kept = kept.unionByName(plain.where("head is null")).select("id", "source", "line_no", "line")
     documents = kept.select("source", "line", "id").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     found = kept.join(documents.select(F.col("source").alias("s"), F.col("line").alias("l")), F.col("source").eqNullSafe(F.col("s")) & (F.col("line") == F.col("l")), "left_semi")
     return found.select("id", "line_no").distinct()
