@@ -60,10 +60,15 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mixture in which every target that has documents is met."""
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), size="exact")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkspam.spam(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p6_shares, p7_found, p8_ids, p9_mixture, p9_shares, p10_found)
+    f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p6_shares, p7_found, p8_ids, p9_mixture, p9_shares, p9_exact_shares, p10_found)
 }

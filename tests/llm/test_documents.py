@@ -69,6 +69,30 @@ def test_mixture_uses(spark):
     assert m.groupby("source").repeat.max().to_dict() == {"big": 1, "mid": 2, "tiny": 3}
 
 
+@settings(max_examples=120, deadline=None)
+@given(hs.dictionaries(hs.sampled_from("abcdefgh"), hs.one_of(hs.integers(1, 5), hs.integers(1, 400)), min_size=1), hs.integers(1, 60))
+def test_segments_keep_the_lag(blocks, segment):
+    total, done, slots = sum(blocks.values()), dict.fromkeys(blocks, 0), 0
+    for begin, had, after in mixing.borders(blocks, segment):
+        assert begin == slots == sum(had.values()) and had == done
+        for t, (s, k) in enumerate(mixing.pfair(blocks, begin, had, after), begin + 1):
+            done[s] += 1
+            assert k == done[s]
+            assert all(abs(done[x] - n * t / total) < 1 for x, n in blocks.items())
+            slots = t
+        assert done == after
+    assert done == blocks
+
+
+def test_segments_do_not_change_the_mixture(spark):
+    docs, targets = _mix(spark)
+    small, whole = (mixing.mixture(docs, targets, block=50, segment=n).toPandas() for n in (16, 10_000))
+    assert sorted(small.slot.unique()) == sorted(whole.slot.unique())
+    columns = ["doc_id", "repeat", "source", "block", "tokens"]
+    assert small[columns].sort_values(columns).values.tolist() == whole[columns].sort_values(columns).values.tolist()
+    assert small.slot.nunique() > 100
+
+
 @pytest.mark.parametrize("blocks", [{"a": 1}, {"a": 5, "b": 3, "c": 1}, {"a": 97, "b": 31, "c": 30, "d": 1, "e": 0}, {str(i): 7 for i in range(9)}])
 def test_pfair_lag(blocks):
     total, done = sum(blocks.values()), dict.fromkeys(blocks, 0)
