@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswork.session import stash
+
 TOKENIZERS = os.environ.get("PRESSWORK_TOKENIZERS", "/opt/tokenizers")
 WINDOW, MASK, LEAST, MOST = 8, 0x7F, 192, 4096  # bytes: one boundary in 128 positions beyond LEAST
 CACHE_BYTES = 24_000_000  # texts that a task's table of chunks holds before it is emptied
@@ -107,7 +109,11 @@ def encode(text: str, tokenizer, table: dict[bytes, np.ndarray] | None = None) -
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").dropDuplicates()
+    """(doc_id, text) without repeated rows. Only ids are exchanged to find the repeated ones; the
+    list of those is written, and joined by broadcast if the planner finds its files small enough."""
+    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    again = stash(texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    return texts.join(again, "doc_id", "left_anti").unionByName(texts.join(again, "doc_id", "left_semi").dropDuplicates())
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], name: str, folder: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
