@@ -4,10 +4,14 @@
    invitations to read on, half tags and half citations) are taken off, which leaves the length
    at which it was cut. An end is *open* (a cut mark, or prose without an end), *doubtful* (a
    line that need not end with a full stop, such as a list item) or *closed*.
-2. Discrete hazards by length: of the texts of a source that reach a length, the share that
-   stops there, against the hazard of the neighbouring lengths, by window functions. Lengths with
-   a significant excess (Benjamini-Hochberg at 0.01 %, since thousands of lengths are no limits) are field limits.
-3. Texts with open ends are cases; doubtful ones are cases at significant lengths.
+2. Discrete hazards by length, in three measures, as fields are limited in different ones
+   (characters without marks, characters, bytes): of the texts of a source that reach a length, the
+   share that stops there, against the hazard of the neighbouring lengths, by window functions.
+   Lengths with a significant excess (Benjamini-Hochberg at 0.01 %, since thousands of lengths are
+   no limits) are field limits.
+3. Ends are weighed together with their lengths: an open end is a case, a doubtful one is a case
+   at a significant length. Texts cut in transfer have no length in common, so that open ends
+   count elsewhere too; ``at_limit`` tells which cases a limit explains.
 
 An ellipsis that closes many different texts in the same words is a manner of closing, not a cut;
 copies of one text count once.
@@ -93,23 +97,23 @@ def before_closing(text: str, length: int, closing: str) -> str:
 
 
 def ends(df: DataFrame, kind: str, id_col: str, source_col: str, text_col: str, title_col: str | None, page: bool) -> DataFrame:
-    """(kind, id, source, length, state, closing, before) of every text; ``before`` for ellipses only."""
+    """(kind, id, source, length, chars, bytes, state, closing, before) of every text; ``before`` for ellipses only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string())
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
         for batch in batches:
             rows = []
             for i, source, text, title in zip(*(c.to_pylist() for c in batch.columns)):
                 if text and text.strip():
                     state, length, closing = end_of(text, page, title, cache)
-                    rows.append((kind, i, source, length, state, closing, before_closing(text, length, closing) if state == ELLIPSIS else None))
+                    rows.append((kind, i, source, length, len(text), len(text.encode("utf-8", "replace")), state, closing, before_closing(text, length, closing) if state == ELLIPSIS else None))
             columns = list(zip(*rows)) if rows else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "id", "source", "length", "state", "closing", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "id", "source", "length", "chars", "bytes", "state", "closing", "before"])
 
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
     columns = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), title.alias("title"))
-    return columns.where("id is not null").mapInArrow(run, "kind string, id string, source string, length bigint, state int, closing string, before string")
+    return columns.where("id is not null").mapInArrow(run, "kind string, id string, source string, length bigint, chars bigint, bytes bigint, state int, closing string, before string")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -126,34 +130,46 @@ def _poisson_tail(seen: pd.Series, expected: pd.Series) -> pd.Series:
     return pd.Series([tail(k, m) for k, m in zip(seen, expected)])
 
 
+MEASURES = ("length", "chars", "bytes")
+
+
+def _measured(found: DataFrame, *columns: str) -> DataFrame:
+    """(kind, source, *columns, measure, length): one row a text and measure."""
+    sizes = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES])).alias("m")
+    return found.select("kind", "source", *columns, sizes).select("kind", "source", *columns, "m.measure", "m.length")
+
+
 def limits(found: DataFrame) -> DataFrame:
-    """(kind, source, length, stopped, reached, p): lengths at which a source's texts stop significantly often."""
+    """(kind, source, measure, length, stopped, reached, p): lengths at which a source's texts stop significantly often."""
     # open and doubtful ends are what a limit produces; closed ends only count as texts that were at risk
-    counts = found.groupBy("kind", "source", "length").agg(F.count("*").alias("n"), F.count_if(F.col("state") != CLOSED).alias("stopped"))
-    source = Window.partitionBy("kind", "source").orderBy("length")
-    near = source.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    hazards = counts.withColumn("reached", F.sum("n").over(Window.partitionBy("kind", "source").orderBy(F.desc("length"))))
+    series = ["kind", "source", "measure"]
+    counts = _measured(found, "state").groupBy(*series, "length").agg(F.count("*").alias("n"), F.count_if(F.col("state") != CLOSED).alias("stopped"))
+    near = Window.partitionBy(series).orderBy("length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
+    hazards = counts.withColumn("reached", F.sum("n").over(Window.partitionBy(series).orderBy(F.desc("length"))))
     hazards = hazards.withColumn("around_n", F.sum("stopped").over(near) - F.col("stopped")).withColumn("around", F.greatest("around_n", F.lit(1)) / (F.avg("reached").over(near) * 2 * NEIGHBOURS))
     tested = hazards.where(F.col("stopped") >= LEAST).withColumn("p", _poisson_tail("stopped", F.col("reached") * F.col("around")))
-    # at most one row per source and length with LEAST stops: what is ranked here does not grow with the texts
-    order = Window.partitionBy("kind").orderBy("p", "source", "length")
+    # at most one row per source, measure and length with LEAST stops: what is ranked here does not grow with the texts
+    order = Window.partitionBy("kind").orderBy("p", "source", "length", "measure")
     tests = F.count("*").over(Window.partitionBy("kind"))
     ranked = tested.withColumn("bound", FALSE_DISCOVERY * F.row_number().over(order) / tests)
     cut = ranked.withColumn("worst", F.max(F.when(F.col("p") <= F.col("bound"), F.col("p"))).over(Window.partitionBy("kind")))
-    return cut.where(F.col("p") <= F.col("worst")).select("kind", "source", "length", "stopped", "reached", "p")
+    return cut.where(F.col("p") <= F.col("worst")).select(*series, "length", "stopped", "reached", "p")
 
 
 def truncated(found: DataFrame) -> DataFrame:
-    """(kind, id, source) of the cases among ``found``, which holds the ends of all texts."""
+    """(kind, id, source, at_limit) of the cases among ``found``, which holds the ends of all texts."""
     manner = found.where(F.col("state") == ELLIPSIS).select("kind", "closing", "before").distinct().groupBy("kind", "closing").agg(F.count("*").alias("n"))
     total = found.where(F.col("state") == ELLIPSIS).groupBy("kind").agg(F.countDistinct("closing", "before").alias("all"))
     manner = manner.join(total, "kind").where((F.col("n") >= 3) & (F.col("n") >= 0.05 * F.col("all")) & (F.size(F.split("closing", " ")) >= 3)).select("kind", "closing")
     judged = found.join(manner.withColumn("customary", F.lit(True)), ["kind", "closing"], "left")
     state = F.when(F.col("state") == ELLIPSIS, F.when(F.col("customary"), CLOSED).otherwise(OPEN)).otherwise(F.col("state"))
     judged = judged.withColumn("state", state).drop("customary", "closing", "before")
-    at = limits(judged).select(F.col("kind").alias("k"), F.col("source").alias("s"), F.col("length").alias("l"), F.lit(True).alias("limit"))
-    full = judged.join(at, (F.col("kind") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("length") == F.col("l")), "left")
-    return full.where((F.col("state") == OPEN) | (F.col("state") == DOUBTFUL) & F.col("limit")).select("kind", "id", "source").distinct()
+    at = limits(judged).select(F.col("kind").alias("k"), F.col("source").alias("s"), F.col("measure").alias("m"), F.col("length").alias("l"))
+    stops = _measured(judged.where(F.col("state") != CLOSED), "id")
+    same = (F.col("kind") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("measure") == F.col("m")) & (F.col("length") == F.col("l"))
+    limited = stops.join(at, same, "left_semi").select("kind", "id").distinct().withColumn("at_limit", F.lit(True))
+    full = judged.where(F.col("state") != CLOSED).join(limited, ["kind", "id"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    return full.where((F.col("state") == OPEN) | F.col("at_limit")).select("kind", "id", "source", "at_limit").distinct()
 
 
 def article_and_story_ends(articles: DataFrame, stories: DataFrame) -> DataFrame:
@@ -163,9 +179,9 @@ def article_and_story_ends(articles: DataFrame, stories: DataFrame) -> DataFrame
 
 
 def shares(found: DataFrame, cases: DataFrame) -> DataFrame:
-    """(record_kind, source, texts, truncated, share) per source."""
+    """(record_kind, source, texts, truncated, at_limits, share) per source; at_limits: cases at significant lengths."""
     totals = found.groupBy("kind", "source").agg(F.count("*").alias("texts"))
-    cut = cases.groupBy(F.col("kind").alias("k"), F.col("source").alias("s")).agg(F.count("*").alias("truncated"))
+    cut = cases.groupBy(F.col("kind").alias("k"), F.col("source").alias("s")).agg(F.count("*").alias("truncated"), F.count_if("at_limit").alias("at_limits"))
     joined = totals.join(cut, (F.col("kind") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    n = F.coalesce("truncated", F.lit(0))
-    return joined.select(F.col("kind").alias("record_kind"), "source", "texts", n.alias("truncated"), F.round(n / F.col("texts"), 6).alias("share"))
+    n, m = F.coalesce("truncated", F.lit(0)), F.coalesce("at_limits", F.lit(0))
+    return joined.select(F.col("kind").alias("record_kind"), "source", "texts", n.alias("truncated"), m.alias("at_limits"), F.round(n / F.col("texts"), 6).alias("share"))
