@@ -1,9 +1,12 @@
 """What of a page is its article: two passes of block rules (problem 4).
 
-First pass: every line is a block. Its stop-word density, length, link density (how much of it
-is short items between separators) and the phrases by which sites speak of themselves decide it
-as body or boilerplate, or leave it open. Second pass: open blocks, which are short, take the
-label of the nearest decided neighbours; headlines under a list of recommendations belong to it.
+First pass: every line is a block. Its stop-word density, length and link density (how much of it
+is short items between separators) decide it as body or boilerplate, or leave it open; phrases by
+which sites speak of themselves are a prior for sources of which little is known. What a source
+repeats under many titles (counted over the corpus in mainbody.py) is boilerplate whatever it
+looks like: whole lines, and the labels that lead or trail a short one. Second pass: open blocks,
+which are short, take the label of the nearest decided neighbours; headlines under a list of
+recommendations belong to it.
 
 Everything here is plain Python on one page at a time; the DataFrame side is in mainbody.py.
 """
@@ -13,7 +16,9 @@ from __future__ import annotations
 import re
 
 NONE, BODY, NOISE, OPEN, HEADER = 0, 1, 2, 3, 4
-LONG = 260  # characters from which a finished block is prose, whatever it speaks of
+LONG = 260  # characters from which a finished block with stop words is prose, whatever it speaks of
+STOPS, FEW_STOPS = 0.15, 0.06  # stop-word density of short prose and of long
+LABELLED, LABEL_WORDS = 160, 5  # characters of a line that a label leads or trails; words of the label
 
 # Frequent function words of the four languages.
 STOP_EN = "the of and to in a that for with on at is was by from would as it be had has have not its their this which who will would or an are were they he she his her than"
@@ -91,6 +96,14 @@ _NOTICE_KEYS = ("©", "(c)", "copyright", "rights", "rechte", "droits", "derecho
 _OFFER_KEYS = ("cookie", "track", "trace", "partner", "partenaire", "socios", "privacy", "datenschutz", "data", "our ", "newsletter", "inbox", "brief", "boletín", "infolettre", "subscri", "abonn", "suscri", "sign up", "confiden", "newsdesk", "tip?", "download", "app", "members", "reading", "read this", "service", "which stories", "choose how", "choices", "page", "list", "personal", "advertis", "publici", "werbung", "audience", "kostenlos", "gratis", "gratuit", "free")
 
 
+_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
+def letters(line: str) -> str:
+    """What lines are compared by: their letters, in lower case."""
+    return _NO_LETTER.sub("", line.lower())
+
+
 def link_density(line: str) -> float:
     """Share of a line that is short items (up to three words) between separators; 0 for one item."""
     items = [x for x in _SEPARATOR.split(line.strip()) if _LETTER.search(x)]
@@ -109,7 +122,7 @@ def classify(line: str) -> tuple[int, bool]:
     if not _LETTER.search(line):
         return NONE, False
     text = " ".join(line.split())
-    if len(text) >= LONG and _END.search(text[-60:]):
+    if len(text) >= LONG and _END.search(text[-60:]) and stop_density(text.lower().split()) >= FEW_STOPS:
         return BODY, False
     bare = _BULLET.sub("", text)
     item = bare != text
@@ -136,7 +149,8 @@ def classify(line: str) -> tuple[int, bool]:
     if 3 <= len(words) <= 25 and sum(w in SECTIONS for w in words) >= 0.6 * len(words):
         return NOISE, item
     n, ended = len(words), bool(_END.search(bare[-60:]))
-    if n >= 10 and (ended or n >= 22 or _TWO.search(bare)) or n >= 5 and ended and stop_density(words) >= 0.15 and not item:
+    stops = stop_density(words)
+    if n >= 10 and stops >= FEW_STOPS and (ended or n >= 22 or _TWO.search(bare)) or n >= 5 and ended and stops >= STOPS and not item:
         return BODY, item
     if n <= 2 and not item and not any(c.isdigit() for c in low):
         return NOISE, item
@@ -145,73 +159,140 @@ def classify(line: str) -> tuple[int, bool]:
     return OPEN, item
 
 
-def label_lines(lines: list[str], title: str | None = None, cache: dict | None = None) -> list[int]:
-    """BODY, NOISE or NONE (no letter) of every line of a page."""
-    first = []
+_MARKED = re.compile(r"\s*(?:[»›>]|\d{1,2}\.\s|\d+ min)")
+ITEM, BLANK, MARKED, QUOTED, UPPER, SITE, TITLE = (1 << i for i in range(3, 10))
+_SIZE, _WIDTH, _MOST = 10, 15, 31
+
+
+def look(line: str) -> int:
+    """First pass over one line: its label and what the second pass asks of it, packed into one number."""
+    label, item = classify(line)
+    code = label | ITEM * item
+    if label == BODY:
+        return code
+    bare = line.strip()
+    if not bare:
+        return code | BLANK
+    code |= MARKED * bool(_MARKED.match(line)) | QUOTED * bool(_QUOTED.match(bare)) | UPPER * bare[:1].isupper() | SITE * bool(_SITE_LINE.match(bare.lower().rstrip(" .»")))
+    return code | min(_MOST, len(_WORD.findall(line))) << _SIZE | min(_MOST, len(bare.split())) << _WIDTH
+
+
+def looks(lines: list[str], title: str | None = None, cache: dict | None = None) -> list[int]:
+    """First pass over a page; ``cache`` remembers short lines from page to page."""
+    title = " ".join((title or "").split()).lower()
+    out = []
     for line in lines:
-        if cache is not None and line in cache:
-            first.append(cache[line])
+        code = cache.get(line) if cache is not None else None
+        if code is None:
+            code = look(line)
+            if cache is not None and len(line) < 200:
+                if len(cache) > 50_000:
+                    cache.clear()
+                cache[line] = code
+        if title and code & 7 == OPEN and " ".join(line.split()).lower().strip(" .»•*-") == title:
+            code |= TITLE
+        out.append(code)
+    return out
+
+
+def segments(line: str) -> list[str]:
+    """The labels that lead or trail a short line: what stands before its first colon or dash, and
+    behind its last full stop, bracket, stroke or colon. List items have none."""
+    bare = " ".join(line.split())
+    if len(bare) >= LABELLED or _BULLET.match(bare):
+        return []
+    found = []
+    lead = re.match(r"[^:—–]{2,40}?(?=\s*:\s|\s[—–]\s)", bare)
+    if lead and len(lead[0].split()) <= LABEL_WORDS:
+        found.append(f"<{lead[0]}")
+    trail = re.search(r"(?:\.\s|\(|\s/\s|:\s|\s[—–|]\s)([^.(/:—–|]{2,40}\)?|[^.(/—–|]{2,20}:\s[^.(/:—–|]{2,30}\)?)$", bare)
+    if trail and len(trail[1].split()) <= LABEL_WORDS:
+        found.append(f">{trail[1]}")
+    return found
+
+
+def marks(lines: list[str], codes: list[int]) -> list[tuple[int, str]]:
+    """(number from 0, what is counted) of the lines of a page: their letters, and those of the labels
+    that lead or trail them. The last line may be cut anywhere and has no label behind it."""
+    last = max((i for i, c in enumerate(codes) if c & 7 != NONE), default=-1)
+    out = []
+    for i, line in enumerate(lines):
+        if codes[i] & 7 == NONE:
             continue
-        got = classify(line)
-        if cache is not None and len(line) < 200:
-            if len(cache) > 50_000:
-                cache.clear()
-            cache[line] = got
-        first.append(got)
-    labels = [x for x, _ in first]
-    title = " ".join((title or "").split()).lower()
+        out.append((i, letters(line)))
+        for label in segments(line):
+            key = letters(label)
+            if key and (i < last or label[0] == "<"):
+                out.append((i, label[0] + key))
+    return out
+
+
+def settle(codes: list[int], repeated: frozenset[int] | set[int] = frozenset()) -> list[int]:
+    """Second pass: BODY, NOISE or NONE (no letter) of every line of a page, from what the first
+    pass saw and the numbers (from 0) of the lines that its source repeats."""
+    labels = [NOISE if i in repeated and c & 7 not in (NONE, HEADER) else c & 7 for i, c in enumerate(codes)]
+    first = list(labels)
+    size = lambda i: codes[i] >> _SIZE & _MOST
+    item = lambda i: bool(codes[i] & ITEM)
+    marked = lambda i: bool(codes[i] & MARKED)
     last = max((i for i, x in enumerate(labels) if x != NONE), default=-1)
-    if last >= 0 and labels[last] in (NOISE, OPEN) and first[last] in ((NOISE, False), (OPEN, False)):
+    before = next((labels[i] for i in range(last - 1, -1, -1) if labels[i] != NONE), NONE)
+    if last >= 0 and labels[last] in (NOISE, OPEN) and not item(last) and last not in repeated:
         # a text that was cut: its last words continue the body, or the footer
-        before = next((labels[i] for i in range(last - 1, -1, -1) if labels[i] != NONE), NONE)
-        if len(_WORD.findall(lines[last])) <= 2 and before == BODY and lines[last].strip()[:1].isupper() and not _SITE_LINE.match(lines[last].strip().lower().rstrip(" .»")):
+        if size(last) <= 2 and before == BODY and codes[last] & UPPER and not codes[last] & SITE:
             labels[last] = OPEN
     if last >= 0 and labels[last] == OPEN:
         # an unfinished line at the end of a text is where it was cut: long ones are prose
-        size = len(_WORD.findall(lines[last]))
-        before = next((labels[i] for i in range(last - 1, -1, -1) if labels[i] != NONE), NONE)
-        if before not in (HEADER, OPEN) and not re.match(r"\s*(?:[»›>]|\d{1,2}\.\s|\d+ min)", lines[last]) and (size >= 8 or size >= 3 and BODY not in labels):
+        if before not in (HEADER, OPEN) and not marked(last) and (size(last) >= 8 or size(last) >= 3 and BODY not in labels):
             labels[last] = BODY
-    marked = lambda i: bool(re.match(r"\s*(?:[»›>]|\d{1,2}\.\s|\d+ min)", lines[i]))
-    near = lambda i, step: next((k for k in range(i + step, last + 1 if step > 0 else -1, step) if lines[k].strip()), -1)
-    listed = lambda i: i >= 0 and first[i] == (OPEN, True)
+    near = lambda i, step: next((k for k in range(i + step, last + 1 if step > 0 else -1, step) if not codes[k] & BLANK), -1)
+    listed = lambda i: i >= 0 and first[i] == OPEN and item(i)
     teaser, prefixed, length = False, False, 0
     for i, x in enumerate(labels):
         if x == HEADER:
             teaser, prefixed, length, labels[i] = True, False, 0, NOISE
-        elif x == OPEN and title and " ".join(lines[i].split()).lower().strip(" .»•*-") == title:
+        elif x == OPEN and codes[i] & TITLE:
             labels[i] = NOISE
         elif x == OPEN and marked(i):
             prefixed, length, labels[i] = True, length + 1, NOISE
-        elif x == OPEN and first[i][1] and (listed(near(i, 1)) or listed(near(i, -1))):
+        elif x == OPEN and item(i) and (listed(near(i, 1)) or listed(near(i, -1))):
             teaser, labels[i] = False, BODY  # two items or more are a list, which articles have
         elif teaser and x == OPEN:
             # a line without the mark of those before it, or a short one just above a paragraph, is a subhead
-            after = near(i, 1)
-            odd = prefixed or _QUOTED.match(lines[i].strip()) or (length >= 2 and len(lines[i].split()) <= 7)
-            alone = not length and len(lines[i].split()) <= 8
-            if after >= 0 and first[after][0] == BODY and (alone or length and odd):
+            after, width = near(i, 1), codes[i] >> _WIDTH & _MOST
+            odd = prefixed or codes[i] & QUOTED or (length >= 2 and width <= 7)
+            alone = not length and width <= 8
+            if after >= 0 and first[after] == BODY and (alone or length and odd):
                 teaser, labels[i] = False, BODY
             else:
                 length, labels[i] = length + 1, NOISE
-        elif x == BODY or not lines[i].strip():
+        elif x == BODY or codes[i] & BLANK:
             teaser = False
         elif x == NOISE:
             teaser, prefixed, length = teaser and marked(i), prefixed or marked(i), length + marked(i)
-    decided = [i for i, x in enumerate(labels) if x in (BODY, NOISE)]
+    # nearest decided lines before and after each line, by one sweep in each direction
+    ahead, following = [-1] * len(labels), -1
+    for i in range(len(labels) - 1, -1, -1):
+        ahead[i] = following
+        following = i if labels[i] in (BODY, NOISE) else following
+    out, previous = list(labels), -1
     for i, x in enumerate(labels):
         if x != OPEN:
+            previous = i if x in (BODY, NOISE) else previous
             continue
-        before = max((j for j in decided if j < i), default=-1)
-        after = next((j for j in decided if j > i), -1)
-        a, b = (labels[before] if before >= 0 else NONE), (labels[after] if after >= 0 else NONE)
+        a, b = (labels[previous] if previous >= 0 else NONE), (labels[ahead[i]] if ahead[i] >= 0 else NONE)
         if a == b or NONE in (a, b):
-            labels[i] = -(a or b or BODY)
-        elif first[i][1]:  # a list item goes with the body on either side
-            labels[i] = -BODY
+            out[i] = a or b or BODY
+        elif item(i):  # a list item goes with the body on either side
+            out[i] = BODY
         else:  # a subhead stands before its paragraphs; a loose line nearer the noise is noise
-            labels[i] = -BODY if b == BODY or i - before < after - i else -NOISE
-    return [abs(x) for x in labels]
+            out[i] = BODY if b == BODY or i - previous < ahead[i] - i else NOISE
+    return out
+
+
+def label_lines(lines: list[str], title: str | None = None, cache: dict | None = None) -> list[int]:
+    """BODY, NOISE or NONE (no letter) of every line of a page, without knowledge of its source."""
+    return settle(looks(lines, title, cache))
 
 
 def main_text(text: str, title: str | None = None, cache: dict | None = None) -> str:

@@ -16,7 +16,6 @@ but is reported at both places; empty tables give an empty result; further colum
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswork.llm.pages import letters
 from presswork.session import stash
 
 MAX_CHUNK, MASK, WINDOW = 1024, 0x1F, 8  # bytes of letters; one end in 32 places
-_NOT_LETTER = re.compile(r"[\W\d_]+")
 
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
 
@@ -69,11 +68,6 @@ def own_chunks(places: np.ndarray, begin: int, end: int) -> list[tuple[int, int]
     return list(zip([*own[:1], *ends], ends))
 
 
-def letters(line: str) -> str:
-    """What a line is compared by; str.lower() and Python's letters."""
-    return _NOT_LETTER.sub("", line.lower())
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 

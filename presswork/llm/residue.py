@@ -21,7 +21,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from presswork.llm import pages
 from presswork.session import stash
@@ -119,20 +120,21 @@ def _remembered(line: str, cache: dict | None) -> bool:
 
 
 def judge(text: str, title: str | None, cache: dict | None = None) -> tuple[int, str, list[int]]:
-    """(trusted label, main text, labels of the lines) of a page."""
+    """(trusted label, main text, first pass of the block rules over the lines) of a page."""
     lines = text.replace("\r", "").split("\n")
-    labels = pages.label_lines(lines, title, cache)
+    codes = pages.looks(lines, title, cache)
+    labels = pages.settle(codes)
     main = [x for x, y in zip(lines, labels) if y == pages.BODY]
     whole = "\n".join(main)
     if unfilled(text):
-        return UNFILLED, whole, labels
+        return UNFILLED, whole, codes
     # of long pages only lines of body count; on short ones a message may look like any line
     suspects = main if _may_hold_message(whole.lower()) else []
     if len(whole) < 1200:
         suspects = suspects + [x for x, y in zip(lines, labels) if y == pages.NOISE and len(x) > 25]
     messages = [x for x in suspects if _remembered(x, cache)]
     if not messages:
-        return CLEAN, whole, labels
+        return CLEAN, whole, codes
     # filler within an article makes it unfinished, whatever its share
     if any(len(x) > 60 and filler_share(pages._WORD.findall(x.lower())) >= 0.6 for x in messages):
         unfinished = UNFILLED
@@ -140,7 +142,7 @@ def judge(text: str, title: str | None, cache: dict | None = None) -> tuple[int,
         unfinished = CLEAN
     said = sum(map(len, messages))
     rest = sum(len(x) for x in main if x not in messages and len(x) > 60)
-    return RESIDUE if said > rest else unfinished, "\n".join(dict.fromkeys([*main, *messages])), labels
+    return RESIDUE if said > rest else unfinished, "\n".join(dict.fromkeys([*main, *messages])), codes
 
 
 _SLUG = re.compile(r"/?\b\w+(?:-\w+){2,}")
@@ -194,31 +196,30 @@ def simhash(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * bits > len(hashes)).tobytes()
 
 
-def judged_pages(df: DataFrame, id_col: str = "id", title_col: str = "title", text_col: str = "content", with_noise: bool = False) -> DataFrame:
-    """(id, label, node, text, sim, noise): trusted label, masked main text with its digest and
-    SimHash, and on request the numbers of the lines that are not body. Written to the shared folder."""
+def judged_pages(df: DataFrame, id_col: str = "id", title_col: str = "title", text_col: str = "content", lines: Callable[[str, str | None, list[int]], tuple] | None = None, fields: str = "") -> DataFrame:
+    """(id, label, node, text, sim): trusted label, masked main text with its digest and SimHash,
+    written to the shared folder. ``lines`` adds ``fields``, made of a page's text, title and codes,
+    so that another question can be asked in the same pass over the texts."""
+    schema = "id string, label int, node binary, text string, sim binary" + (f", {fields}" if fields else "")
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         memo: dict[str, int] = {}
-        types = (pa.string(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.list_(pa.int32()))
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            rows = []
             for i, title, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text or not text.strip():
                     continue
-                label, main, lines = judge(text, title, cache)
+                label, main, codes = judge(text, title, cache)
                 masked_text = masked(main, title) if label != UNFILLED else ""
-                out[0].append(i)
-                out[1].append(label)
-                out[2].append(xxhash.xxh3_128_digest(masked_text.encode()) if masked_text else None)
-                out[3].append(masked_text or None)
-                out[4].append(simhash(np.unique(shingles(masked_text, memo))) if masked_text else None)
-                out[5].append([no for no, x in enumerate(lines, 1) if x == pages.NOISE] if with_noise else None)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["id", "label", "node", "text", "sim", "noise"])
+                node = (xxhash.xxh3_128_digest(masked_text.encode()), masked_text, simhash(np.unique(shingles(masked_text, memo)))) if masked_text else (None, None, None)
+                rows.append((i, label, *node, *(lines(text, title, codes) if lines else ())))
+            columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     columns = df.select(F.col(id_col).cast("string").alias("id"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
-    return stash(columns.where("id is not null").mapInArrow(run, "id string, label int, node binary, text string, sim binary, noise array<int>"))
+    return stash(columns.where("id is not null").mapInArrow(run, schema))
 
 
 def keys_of(codes: np.ndarray) -> np.ndarray:

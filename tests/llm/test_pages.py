@@ -48,6 +48,24 @@ def test_noise_lines_edges(spark):
     assert kept["01"] is None and kept["00"].split("\n") == [x for x, y in LINES if y == pages.BODY]
 
 
+def test_what_a_source_repeats_is_noise(spark):
+    prompt = "Zabor felunta in every house of the county and in all the villages around it is what we stand for."
+    own = "Nobody in the harbour had been told of the plan, and that was the end of it for the council."
+    data = []
+    for i in range(5):
+        data.append((f"r{i}", f"Title {i}", f"{PARAGRAPH}\n{prompt}\nFelun {chr(97 + i)} of the port. Snap: Zabor House\n{PARAGRAPH} {chr(97 + i)}.", "a.test", "x", 1))
+        data.append((f"c{i}", "One title", f"{own}\n{own} Then it was on to the next.", "a.test", "x", 1))  # copies count once
+        data.append((f"b{i}", f"Title {i}" if i < 4 else "Title 0", f"{own}\n{prompt}\n{own}", "b.test", "x", 1))  # four titles
+    df = spark.createDataFrame([*data, data[0]], PAGE)
+    assert {tuple(r) for r in mainbody.noise_lines(df).collect()} == {(f"r{i}", n) for i in range(5) for n in (1, 2, 3)}
+
+
+def test_stop_words_decide_prose():
+    words = "harbour council ledger river meadow window answer letter winter bridge market garden".split()
+    assert pages.classify(" ".join(words) + ".")[0] == pages.OPEN
+    assert pages.classify("The " + " of the ".join(words) + ".")[0] == pages.BODY
+
+
 BODY = "\n".join([PARAGRAPH] * 4)
 
 
