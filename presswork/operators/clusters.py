@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presswork.functions import entities as en
-from presswork.functions import vectors as vc
+from presswork.session import stash
 
 
 def centroids(articles: DataFrame, sample: int = 20, dim: int = 64) -> DataFrame:
@@ -32,26 +32,64 @@ def cluster_entities(articles: DataFrame, latest: int | None = None) -> DataFram
     return seen.groupBy("topic_cluster_id", "entity").agg(F.min(F.struct("n", "at")).alias("first_seen"))
 
 
-def best_centroid(articles: DataFrame, centres: DataFrame, max_broadcast: int = 50_000) -> DataFrame:
+def best_centroid(articles: DataFrame, centres: DataFrame, block: int = 20_000) -> DataFrame:
     """(id, topic_cluster_id, similarity): the most similar centre of every article, ties by cluster id.
 
-    Centres are the recent clusters' and broadcast while they are few; beyond ``max_broadcast``
-    both sides are cut into blocks that meet pairwise, so no side has to fit into one task.
+    Centres are handed to the tasks in blocks of at most ``block`` of them; a block meets the articles
+    as one matrix product a batch, which leaves one row an article. No pair of the two is ever a row.
     """
-    few = centres.limit(max_broadcast + 1).count() <= max_broadcast
+    named = stash(centres.select(F.col("topic_cluster_id").cast("string").alias("topic_cluster_id"), "centroid").where("topic_cluster_id is not null"))
+    blocks = max(1, -(-named.count() // block))
+    kind = dict(articles.dtypes)["id"]
     vectors = articles.where(F.size("embedding") > 0).select("id", "embedding")
-    if few:
-        pairs = vectors.crossJoin(F.broadcast(centres.select("topic_cluster_id", "centroid")))
-    else:
-        parts = 32
-        left = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        right = centres.select("topic_cluster_id", "centroid", F.pmod(F.xxhash64("topic_cluster_id"), F.lit(parts)).cast("int").alias("b"))
-        pairs = left.join(right, "b").drop("b")
-    scored = pairs.select("id", "topic_cluster_id", vc.cosine(F.col("embedding"), F.col("centroid")).alias("similarity"))
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "topic_cluster_id")).alias("x"))
+    placed = named.withColumn("place", F.pmod(F.xxhash64("topic_cluster_id"), F.lit(blocks)))
+    best = None
+    for n in range(blocks):
+        rows = placed.where(F.col("place") == n).select("topic_cluster_id", "centroid").collect()  # about ``block`` rows
+        found = vectors.mapInPandas(_nearest_of(rows), f"id {kind}, topic_cluster_id string, similarity double")
+        best = found if best is None else best.unionByName(found)
+    best = best.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "topic_cluster_id")).alias("x"))
     return best.select("id", F.col("x.topic_cluster_id").alias("topic_cluster_id"), (-F.col("x.s")).alias("similarity"))
 
 
+def _nearest_of(rows: list):
+    """For mapInPandas: the centre of ``rows`` most similar to each vector (9 decimals, ties by id).
+    Vectors of other lengths and without a direction have a similarity of 0 to every centre."""
+    rows = sorted(rows, key=lambda r: r["topic_cluster_id"])
+    names = [r["topic_cluster_id"] for r in rows]
+    units: dict[int, tuple[np.ndarray, list[int]]] = {}
+    for dim in {len(r["centroid"]) for r in rows}:
+        at = [i for i, r in enumerate(rows) if len(r["centroid"]) == dim]
+        m = np.array([rows[i]["centroid"] for i in at], dtype=float)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        units[dim] = np.divide(m, size, out=np.zeros_like(m), where=size > 0), at
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            best, score = np.zeros(len(frame), dtype=int), np.zeros(len(frame))
+            lengths = frame["embedding"].map(len).to_numpy() if len(frame) else np.zeros(0)
+            for dim, (m, at) in units.items():
+                mine = np.flatnonzero(lengths == dim)
+                for part in np.array_split(mine, max(1, -(-len(mine) // 1024))):
+                    if not len(part):
+                        continue
+                    v = np.array([frame["embedding"].iloc[i] for i in part], dtype=float)
+                    size = np.linalg.norm(v, axis=1, keepdims=True)
+                    cos = np.round(np.divide(v, size, out=np.zeros_like(v), where=size > 0) @ m.T, 9)
+                    top = cos.argmax(axis=1)
+                    # a centre of another length has 0, and may come first
+                    best[part] = [at[t] for t in top]
+                    score[part] = cos[np.arange(len(part)), top]
+                    if len(at) < len(rows):
+                        other = min(set(range(len(rows))) - set(at))
+                        zero = (score[part] < 0) | ((score[part] == 0) & (other < best[part]))
+                        best[part] = np.where(zero, other, best[part])
+                        score[part] = np.where(zero, 0.0, score[part])
+            yield pd.DataFrame({"id": frame["id"], "topic_cluster_id": [names[i] for i in best], "similarity": score}) if names else pd.DataFrame({"id": [], "topic_cluster_id": [], "similarity": []})
+
+    return run
+
+
 def entity_overlaps(articles: DataFrame, members: DataFrame) -> DataFrame:
     """(id, topic_cluster_id, tickers, proper_nouns, score): shared entities of article and cluster, through the entities."""
     own = articles.select("id", F.explode(F.array_distinct("entities")).alias("entity")).where("entity is not null")
@@ -179,48 +217,48 @@ def merge_candidates(snap: DataFrame, hours: int = 72) -> DataFrame:
 
 
 def greedy_merge(snap: DataFrame, pairs: DataFrame, cap: int = 15) -> DataFrame:
-    """(victim, survivor): merges in order of the snapshot, larger cluster first, none beyond ``cap`` articles.
+    """(victim, survivor): merges pair by pair, larger cluster first, none beyond ``cap`` articles.
 
-    The order is part of the definition; what one task holds are the candidate pairs, of which
-    the window and the shared entities leave few.
-    """
-    order = Window.orderBy(F.desc("last_updated_at"), "id")
-    placed = snap.withColumn("p", F.row_number().over(order)).select("id", "p", "articles")
-    a, b = (placed.select(F.col("id").alias(c), F.col("p").alias(f"p{c}"), F.col("articles").alias(f"n{c}")) for c in "ab")
-    rows = pairs.select("a", "b").join(a, "a").join(b, "b")
+    Pairs are taken in the order of their clusters in the snapshot (latest first): by the earlier
+    cluster, then by the later one. A walk from entity to entity in the order in which they were
+    stored would meet the same pairs in another order, and merge others once the cap binds.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(frames), ignore_index=True)
-        swap = every.pa > every.pb
-        for x, y in (("a", "b"), ("pa", "pb"), ("na", "nb")):
-            every[x], every[y] = every[x].where(~swap, every[y]), every[y].where(~swap, every[x])
-        live: dict[str, int] = {}
-        into: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            while x in into:
-                x = into[x]
-            return x
-
-        merged = []
-        for r in every.sort_values(["pa", "pb"]).itertuples(index=False):
-            live.setdefault(r.a, int(r.na))
-            live.setdefault(r.b, int(r.nb))
-            x, y = find(r.a), find(r.b)
-            if x == y or live[x] + live[y] > cap:
-                continue
-            keep, gone = (x, y) if live[x] >= live[y] else (y, x)
-            live[keep] += live[gone]
-            into[gone] = keep
-            merged.append((gone, keep))
-        yield pd.DataFrame([(v, find(s)) for v, s in merged], columns=["victim", "survivor"])
-
-    return rows.coalesce(1).mapInPandas(run, "victim string, survivor string")
+    The walk is done in rounds: a pair that comes first among all pairs of both its clusters does not
+    depend on any other, so all such pairs are merged at once. Pairs within one cluster or beyond the
+    cap drop out for good, since clusters only grow. No task holds more than its share of the pairs.
+    """
+    at = F.struct(F.coalesce(-unix(F.col("last_updated_at")), F.lit(2**63 - 1)).alias("t"), "id")
+    placed = snap.select("id", at.alias("at"), F.col("articles").cast("bigint").alias("n"))
+    a, b = (placed.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}")) for c in "ab")
+    edges = pairs.select("a", "b").join(a, "a").join(b, "b")
+    first = F.col("at_a") < F.col("at_b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    edges = stash(edges.select(pick("a", "b").alias("x"), pick("b", "a").alias("y"), F.struct(F.least("at_a", "at_b").alias("u"), F.greatest("at_a", "at_b").alias("v")).alias("rank")))
+    involved = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    sizes = stash(placed.select("id", "n").join(involved, "id", "left_semi"))
+    merged = None
+    while True:
+        nx, ny = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
+        open_ = stash(edges.where("x <> y").join(nx, "x").join(ny, "y").where(F.col("nx") + F.col("ny") <= cap))
+        if open_.isEmpty():
+            break
+        least = open_.select("rank", F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.min("rank").alias("least"))
+        lx, ly = (least.select(F.col("id").alias(c), F.col("least").alias(f"l{c}")) for c in "xy")
+        chosen = open_.join(lx, "x").join(ly, "y").where((F.col("rank") == F.col("lx")) & (F.col("rank") == F.col("ly")))
+        keep_x = F.col("nx") >= F.col("ny")
+        step = stash(chosen.select(F.when(keep_x, F.col("y")).otherwise(F.col("x")).alias("victim"), F.when(keep_x, F.col("x")).otherwise(F.col("y")).alias("survivor"), (F.col("nx") + F.col("ny")).alias("n")).dropDuplicates(["victim"]))
+        moves = step.select("victim", "survivor")
+        edges = stash(repoint(repoint(open_.select("x", "y", "rank"), moves, "x"), moves, "y"))
+        grown = step.select(F.col("survivor").alias("id"), F.col("n").alias("grown"))
+        sizes = stash(sizes.join(moves.select(F.col("victim").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("grown", "n").alias("n")))
+        merged = stash(moves if merged is None else repoint(merged, moves, "survivor").unionByName(moves))
+    return merged if merged is not None else snap.sparkSession.createDataFrame([], "victim string, survivor string")
 
 
 def repoint(df: DataFrame, merges: DataFrame, column: str = "topic_cluster_id") -> DataFrame:
     """The rows with merged clusters replaced by their survivors."""
-    return df.join(merges, F.col(column) == F.col("victim"), "left").withColumn(column, F.coalesce("survivor", column)).drop("victim", "survivor")
+    moves = merges.select(F.col("victim").alias("__victim"), F.col("survivor").alias("__survivor"))
+    return df.join(moves, F.col(column) == F.col("__victim"), "left").withColumn(column, F.coalesce("__survivor", column)).drop("__victim", "__survivor")
 
 
 def with_extracted(articles: DataFrame, size: int = 1500) -> DataFrame:

@@ -13,9 +13,12 @@ USEFUL, CAP, SNIPPET = 300, 30_000, 50
 
 
 def domain_index(sources: DataFrame) -> DataFrame:
-    """(name, domain, place): every domain and alias of the sources; of two owners the later one."""
-    order = sources.select("domain", F.explode(F.concat(F.array("domain"), F.coalesce("aliases", F.array()))).alias("name"))
-    return order.groupBy(F.lower("name").alias("name")).agg(F.max("domain").alias("domain"))
+    """(name, domain): every domain and alias of the sources; of two owners the later one counts, by
+    the column ``place`` of the sources where they have one, else by their domain. A source's own
+    domain stands before its aliases, so an alias that is another source's domain goes to the later."""
+    place = F.struct("place", "domain") if "place" in sources.columns else F.struct("domain")
+    order = sources.select("domain", place.alias("at"), F.explode(F.concat(F.array("domain"), F.coalesce("aliases", F.array()))).alias("name"))
+    return order.groupBy(F.lower("name").alias("name")).agg(F.max_by("domain", "at").alias("domain"))
 
 
 def resolve(df: DataFrame, url: str, sources: DataFrame) -> DataFrame:

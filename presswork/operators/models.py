@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswork.functions import stories as st
+from presswork.session import stash
 
 
 class Provider(Protocol):
@@ -70,36 +71,58 @@ def embed_udf(provider: type[Provider] = HashingProvider):
     return embedded
 
 
-def prompt(title: Column, articles: Column, mode: Column, cap: int = 8, size: int = 6000) -> Column:
-    """A request: the title, the mode, and one line a source, capped in number and length."""
-    lines = F.transform(F.slice(articles, 1, cap), lambda a: F.concat(F.lit("["), a["domain"], F.lit("] "), F.substring(F.regexp_replace(a["body"], r"\s+", " "), 1, size)))
-    return F.concat_ws("\n", title, F.concat(F.lit("mode: "), mode), F.lit("sources:"), F.array_join(lines, "\n"))
+#: What a request says of the way its articles were chosen.
+HINTS = {
+    "topic": "articles of one topic from the last days", "headline": "articles found by a headline", "links": "articles that the reader chose",
+    "compare": "say where these outlets differ", "freeform": "a question over several topics: say how they are connected, and where they are not",
+}
+
+
+def prompt(title: Column, articles: Column, mode: Column, cap: int = 8, size: int = 20_000, fields: tuple[str, ...] = ()) -> Column:
+    """A request: the title, the mode with its hint, and one line a source, capped in number and
+    length; ``fields`` of the articles (headline, time, author) stand in lines before their text."""
+    hint = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv]), mode), F.lit(""))
+
+    def source(a: Column) -> Column:
+        said = [F.concat(F.lit(f"{f}: "), F.coalesce(a[f].cast("string"), F.lit("unknown")), F.lit("\n")) for f in fields]
+        return F.concat(*said, F.lit("["), a["domain"], F.lit("] "), F.substring(F.regexp_replace(F.coalesce(a["body"], F.lit("")), r"\s+", " "), 1, size))
+
+    return F.concat_ws("\n", title, F.concat(F.lit("mode: "), mode, F.lit(" - "), hint), F.lit("sources:"), F.array_join(F.transform(F.slice(articles, 1, cap), source), "\n"))
 
 
 ANSWER = "headline string, deck string, body string, sourceDomains array<string>, claimAttributions array<struct<claimText:string,attributedDomains:array<string>>>, confidence double"
 
 
-def synthesize(requests: DataFrame, provider: type[Provider] = HashingProvider, default_confidence: float = 0.0) -> DataFrame:
-    """(id, ok, answer): each request (id, prompt, own array<string>) answered, parsed, checked and tried twice."""
+def _asked(requests: DataFrame, provider: type[Provider]) -> DataFrame:
+    """(id, own, raw): each request answered once, written to the shared folder so that nothing asks again."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = provider()
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "own": frame["own"], "first": frame["prompt"].map(model.synthesize), "second": frame["prompt"].map(model.synthesize)})
+            yield pd.DataFrame({"id": frame["id"], "own": frame["own"], "raw": frame["prompt"].map(model.synthesize)})
+
+    return stash(requests.select("id", "prompt", "own").mapInPandas(run, "id string, own array<string>, raw string"))
+
 
-    asked = requests.select("id", "prompt", "own").mapInPandas(run, "id string, own array<string>, first string, second string")
+def _judged(asked: DataFrame) -> DataFrame:
+    """(id, ok, answer): answers parsed and checked against the request's own sources."""
+    a = st.parse_answer(F.col("raw"), ANSWER)
+    cited = st.cited_domains(a["claimAttributions"], a["sourceDomains"])
+    return asked.select("id", F.coalesce(F.size(st.failures(a["body"], cited, F.col("own"), F.col("own"))) == 0, F.lit(False)).alias("ok"), a.alias("answer"))
 
-    def judged(c: str) -> Column:
-        a = st.parse_answer(F.col(c), ANSWER)
-        cited = st.cited_domains(a["claimAttributions"], a["sourceDomains"])
-        return F.struct(a.alias("answer"), F.coalesce(F.size(st.failures(a["body"], cited, F.col("own"), F.col("own"))) == 0, F.lit(False)).alias("ok"))
 
-    tried = asked.select("id", judged("first").alias("a"), judged("second").alias("b"))
-    best = F.when(F.col("a.ok"), F.col("a")).otherwise(F.col("b"))
-    answer = best["answer"]
+def synthesize(requests: DataFrame, provider: type[Provider] = HashingProvider, default_confidence: float = 0.0, retry: bool = True) -> DataFrame:
+    """(id, ok, answer): each request (id, prompt, own array<string>) answered, parsed and checked;
+    those that fail are asked once more. A model is called once a row, and once more for failures."""
+    tried = _judged(_asked(requests, provider))
+    if retry:
+        failed = tried.where(~F.col("ok")).select("id")
+        again = _judged(_asked(requests.join(failed, "id", "left_semi"), provider))
+        tried = tried.where("ok").unionByName(again)
+    answer = F.col("answer")
     filled = F.struct(
         F.coalesce(answer["headline"], F.lit("")).alias("headline"), answer["deck"].alias("deck"), answer["body"].alias("body"),
         F.coalesce(answer["sourceDomains"], F.array().cast("array<string>")).alias("source_domains"), answer["claimAttributions"].alias("claim_attributions"),
         F.coalesce(answer["confidence"], F.lit(default_confidence)).alias("confidence"),
     )
-    return tried.select("id", best["ok"].alias("ok"), filled.alias("answer"))
+    return tried.select("id", "ok", filled.alias("answer"))

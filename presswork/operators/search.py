@@ -54,10 +54,10 @@ def _numbered(df: DataFrame, rank: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).withColumn("pass", F.lit(rank))
 
 
-def candidates(articles: DataFrame, query: str, now: Column, hours: int, fetch: int, least: int, keyword_fetch: int, domains: list[str] | None = None) -> DataFrame:
+def candidates(articles: DataFrame, query: str, now: Column, hours: int, fetch: int, least: int, keyword_fetch: int, domains: list[str] | None = None, until: int | None = None) -> DataFrame:
     """Search results in order (column pos): the whole query, and each of its keywords where it finds too little.
 
-    Keyword results are appended while fewer than ``fetch`` rows are there; first occurrences count.
+    Keyword results are appended while fewer than ``until`` rows are there (all, by default); first occurrences count.
     """
     whole = _numbered(search(articles, query, now, hours, fetch, domains), 0)
     words = [w for w in query.split() if len(w) >= 3] if " " in query else []
@@ -67,7 +67,8 @@ def candidates(articles: DataFrame, query: str, now: Column, hours: int, fetch:
     # a pass is used if the passes before it left room; all rows here are limited search results
     per_pass = every.groupBy("pass").agg(F.count("*").alias("n"))
     before = per_pass.withColumn("before", F.sum("n").over(Window.orderBy("pass")) - F.col("n")).select("pass", "before")
-    used = every.withColumn("found", total).join(before, "pass").where((F.col("pass") == 0) | (F.col("found") < least) & (F.col("before") < fetch))
+    room = F.lit(True) if until is None else F.col("before") < until
+    used = every.withColumn("found", total).join(before, "pass").where((F.col("pass") == 0) | (F.col("found") < least) & room)
     return used.withColumn("pos", F.row_number().over(Window.orderBy("pass", "rank"))).select("id", "source_domain", "title", "url", "ingested", "title_hit", "pos")
 
 
@@ -80,17 +81,22 @@ def pool(articles: DataFrame, texts: list[str], now: Column, hours: int) -> Data
     return cut(columns.where(since(F.col("ingested"), now, hours) & reduce(lambda a, b: a | b, hits)))
 
 
-def assemble_query(articles: DataFrame, query: str, now: Column, hours: int = 72, fetch: int = 30, least: int = 4, cap: int = 8, domains: list[str] | None = None) -> DataFrame:
-    """Diverse selection for one topic."""
+def assemble_query(articles: DataFrame, query: str, now: Column, hours: int = 72, fetch: int = 30, least: int = 4, cap: int = 8, domains: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Diverse selection for one topic; of known ``sources`` alone, where they are given."""
     articles = pool(articles, [query], now, hours)
-    return diverse(candidates(articles, query, now, hours, fetch, least, fetch, domains), "pos", cap)
+    return _known(diverse(candidates(articles, query, now, hours, fetch, least, fetch, domains, fetch), "pos", cap), sources)
 
 
-def assemble_freeform(articles: DataFrame, query: str, topics: list[str], now: Column, hours: int = 72, cap: int = 10) -> DataFrame:
+def _known(picked: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """What is picked, without articles of sources that are not known; their places stay empty."""
+    return picked if sources is None else picked.join(sources.select(F.col("domain").alias("source_domain")).distinct(), "source_domain", "left_semi")
+
+
+def assemble_freeform(articles: DataFrame, query: str, topics: list[str], now: Column, hours: int = 72, cap: int = 10, sources: DataFrame | None = None) -> DataFrame:
     """Selection over the parts of a free query: each part gets its quota, one article a source, and
     what is left is filled from the whole query. ``topics`` are the parts (functions.text.sub_topics)."""
     if len(topics) <= 1:
-        return assemble_query(articles, query, now, hours)
+        return assemble_query(articles, query, now, hours, sources=sources)
     quota = max(2, cap // len(topics))
     articles = pool(articles, [query, *topics], now, hours)
     chosen = None
@@ -105,4 +111,4 @@ def assemble_freeform(articles: DataFrame, query: str, topics: list[str], now: C
     rest = rest.select("id", "source_domain", "title", "url", "ingested", F.lit(len(topics)).alias("topic"), F.col("rank").alias("pos"))
     order = ["topic", "pos"]
     picked = chosen.unionByName(rest).orderBy(*order).limit(cap)
-    return picked.withColumn("pick", F.row_number().over(Window.orderBy(*order)))
+    return _known(picked.withColumn("pick", F.row_number().over(Window.orderBy(*order))), sources)

@@ -1,12 +1,17 @@
-"""Tables that change: versions on disk, upserts, updates by key and deletes, as set operations.
-
-A plain Spark has no transactions over several tables; a change writes a new version beside the
-old one and moves a pointer, so that readers see one or the other. One writer is assumed.
+"""Tables that change: versions on disk, appends, upserts, updates by key and deletes, as set operations.
+
+A plain Spark has no transactions over tables. A table is a sequence of numbered manifests, each
+of which names the parquet folders that make up one version. An append writes its batch and a
+manifest that adds one folder; a change of other rows writes new folders. A manifest is written
+aside and renamed to the next number, so readers see one version or the other, and of two writers
+only one gets the number. Several tables change one after the other; ``Store.change`` writes the
+data of all of them before it publishes the first.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +22,7 @@ from presswork.functions import urls
 
 
 class Store:
-    """Named tables under one folder; each version is a parquet folder, CURRENT names the valid one."""
+    """Named tables under one folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -25,30 +30,79 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
+    def _numbers(self, name: str) -> list[int]:
+        folder = self._path(f"{self.root}/{name}/manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = (status.getPath().getName() for status in self._fs.listStatus(folder))
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _parts(self, name: str, number: int | None = None) -> list[tuple[str, tuple[str, ...]]]:
+        """(folder, columns) of the parts of a version, by default the current one."""
+        numbers = self._numbers(name)
+        if not numbers:
+            return []
+        lines = self.spark.read.text(f"{self.root}/{name}/manifests/{numbers[-1] if number is None else number:012d}").collect()  # one row a part
+        return [(folder, tuple(columns.split(","))) for folder, _, columns in (r[0].partition("\t") for r in lines) if folder]
 
     def read(self, name: str) -> DataFrame:
-        if not self._fs.exists(self._path(self._pointer(name))):
-            return schema.empty(self.spark, name)
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return schema.upgraded(self.spark, self.spark.read.parquet(f"{self.root}/{name}/{version}"), name)
+        """The table in today's columns. Parts of one set of columns are one scan."""
+        parts = self._parts(name)
+        groups = {columns: [f"{self.root}/{name}/{f}" for f, c in parts if c == columns] for _, columns in parts}
+        read = [schema.upgraded(self.spark, self.spark.read.parquet(*folders), name) for folders in groups.values()]
+        return reduce(DataFrame.unionByName, read) if read else schema.empty(self.spark, name)
+
+    def _write(self, name: str, df: DataFrame) -> tuple[str, tuple[str, ...]]:
+        folder = f"v-{uuid.uuid4().hex}"
+        df = schema.upgraded(self.spark, df, name)
+        df.write.parquet(f"{self.root}/{name}/{folder}")
+        return folder, tuple(df.columns)
+
+    def _publish(self, name: str, parts: list[tuple[str, tuple[str, ...]]], after: int) -> None:
+        aside = self._path(f"{self.root}/{name}/manifests/_{uuid.uuid4().hex}")
+        out = self._fs.create(aside, True)
+        out.write(bytearray("\n".join(f"{folder}\t{','.join(columns)}" for folder, columns in parts).encode()))
+        out.close()
+        target = self._path(f"{self.root}/{name}/manifests/{after + 1:012d}")
+        if self._fs.exists(target) or not self._fs.rename(aside, target):
+            self._fs.delete(aside, False)
+            raise RuntimeError(f"another writer changed {name}")
+
+    def _last(self, name: str) -> int:
+        return max(self._numbers(name), default=0)
 
     def swap(self, name: str, df: DataFrame) -> None:
-        """Write a new version, then point to it."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        out = self._fs.create(self._path(self._pointer(name)), True)
-        out.write(bytearray(version.encode()))
-        out.close()
+        """Replace a table."""
+        self.change({name: df})
+
+    def change(self, tables: dict[str, DataFrame]) -> None:
+        """Replace several tables: all of them are written before the first is published."""
+        last = {name: self._last(name) for name in tables}
+        written = {name: self._write(name, df) for name, df in tables.items()}
+        for name, part in written.items():
+            self._publish(name, [part], last[name])
 
     def append(self, name: str, df: DataFrame, unique: list[str] | None = None) -> DataFrame:
-        """Add the rows whose unique columns are not there yet; returns what was added."""
-        old = self.read(name)
-        new = insert_new(old, df, unique) if unique else df
-        new = schema.upgraded(self.spark, new, name)
-        self.swap(name, old.unionByName(new))
-        return new
+        """Add the rows whose unique columns are not there yet; returns what was added, as written."""
+        last, parts = self._last(name), self._parts(name)
+        part = self._write(name, insert_new(self.read(name), df, unique) if unique else df)
+        self._publish(name, [*parts, part], last)
+        return self.spark.read.parquet(f"{self.root}/{name}/{part[0]}")
+
+    def compact(self, name: str) -> None:
+        """Bring the parts of a table into one folder; for the time between loads."""
+        self.swap(name, self.read(name))
+
+    def vacuum(self, name: str, keep: int = 2) -> int:
+        """Delete the folders that none of the last ``keep`` versions has; returns how many."""
+        numbers = self._numbers(name)
+        used = {folder for n in numbers[-keep:] for folder, _ in self._parts(name, n)}
+        old = {folder for n in numbers[:-keep] for folder, _ in self._parts(name, n)} - used
+        for folder in old:
+            self._fs.delete(self._path(f"{self.root}/{name}/{folder}"), True)
+        for n in numbers[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/{name}/manifests/{n:012d}"), False)
+        return len(old)
 
 
 def insert_new(old: DataFrame, new: DataFrame, unique: list[str]) -> DataFrame:

@@ -60,10 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's shared folder alone; only a session without one gets a local folder."""
+    """Leave the cluster's shared folder alone; only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="presswork-checkpoint-"))
 
 
