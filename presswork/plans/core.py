@@ -564,12 +564,14 @@ def ticker_symbols(spark, d):
     return a.select("id", F.array_join(en.tickers(t), ",").alias("tickers"))
 
 
-@query(r"""WITH a AS (SELECT DISTINCT ON (id) id, content FROM articles),
-    f AS (SELECT id, regexp_extract_all(content, '\b((?:[A-Z][a-z][a-zA-Z]*(?:\s+(?:of|de|du|la|le|von|van|al)\s+|\s+)){1,4}[A-Z][a-z][a-zA-Z]*)\b', 1) AS n FROM a)
-    SELECT id, CAST(len(n) AS INT) AS phrases FROM f""")
+_KINDS = f"""list_transform(list_filter(regexp_split_to_array(regexp_replace(content, '[^A-Za-z0-9_\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+', ' | ', 'g'), '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+'), lambda w: w <> ''),
+    lambda w: CASE WHEN regexp_full_match(w, '[A-Z][a-z][A-Za-z]*') THEN 'N' WHEN w IN {en.CONNECTORS} THEN 'c' ELSE 'x' END)"""
+
+
+@query(f"WITH a AS (SELECT DISTINCT ON (id) id, content FROM articles) SELECT id, CAST(len(regexp_extract_all(array_to_string({_KINDS}, ''), '{en.NAME_RUN}')) AS INT) AS phrases FROM a")
 def name_phrases(spark, d):
     a = table(spark, d, "articles").select("id", "content").dropDuplicates(["id"])
-    return a.select("id", F.size(F.regexp_extract_all("content", F.lit(en.PROPER_NOUN), 1)).alias("phrases"))
+    return a.select("id", F.size(en.name_phrases(F.col("content"))).alias("phrases"))
 
 
 @query()
