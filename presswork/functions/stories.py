@@ -88,9 +88,15 @@ def repair_json(raw: str) -> str:
     """
     out: list[str] = []
     inside, i = False, 0
+
+    def next_visible(at: int) -> str:
+        while at < len(raw) and raw[at].isspace():
+            at += 1
+        return raw[at : at + 1]
+
     while i < len(raw):
         c = raw[i]
-        following = raw[i + 1 :].lstrip()[:1]
+        following = next_visible(i + 1) if c in '",' else ""
         if inside and c == "\\" and i + 1 < len(raw):
             out.append(raw[i : i + 2])
             i += 2

@@ -14,6 +14,21 @@ SPACE = r"[\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff
 SPLITS = r"(?i)\b(?:and|vs\.?|versus|compared?\s+to|compare|with|&)\b|,"
 
 
+def form_lines(text: Column) -> Column:
+    """The lines of a form field, trimmed, without empty ones: one link a line."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), collapse), lambda x: x != "")
+
+
+def form_names(text: Column) -> Column:
+    """The names of a form field between commas and line ends, each once, in lower case."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[,\r\n]+"), lambda x: F.lower(collapse(x))), lambda x: x != ""))
+
+
+def days_ago(now: Column, days: int) -> Column:
+    """The day that many days before, as archives write it (yyyyMMdd)."""
+    return F.date_format(now - F.make_dt_interval(days=F.lit(days)), "yyyyMMdd")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case of ASCII letters only."""
     return F.translate(c, UPPER, LOWER)

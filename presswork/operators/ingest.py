@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presswork.functions import text as tx
 from presswork.functions import urls
+from presswork.sources.feeds import main_text
 
 USEFUL, CAP, SNIPPET = 300, 30_000, 50
 
@@ -92,6 +97,57 @@ def archive_hits(hits: DataFrame, query: str, limit: int, sources: int) -> DataF
     return ranked.orderBy(F.desc("stamp"), "url").limit(min(limit, 50)).drop("rn")
 
 
+def archive_union(listings: list[DataFrame]) -> DataFrame:
+    """The archive listings (url, stamp) of several sources in one; those that could not be had are null, and left out."""
+    return reduce(DataFrame.unionByName, [x.select("url", "stamp") for x in listings if x is not None]).where("url is not null").distinct()
+
+
+def archive_ingest(listings: list[DataFrame], pages: DataFrame, stored: DataFrame, sources: DataFrame, query: str, limit: int = 50, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(new articles, one row found, ingested) of archived pages: the listings' hits for the query, with
+    the text of ``pages`` (url, title, text) where it has at least ``least`` characters, new by URL and hash."""
+    hits = archive_hits(archive_union(listings), query, limit, len(listings))
+    gated = gate(hits.join(pages.select("url", "title", "text").dropDuplicates(["url"]), "url", "left"), "url", sources)
+    usable = gated.where(F.col("ok") & (F.length("text") >= least))
+    new = fresh_items(usable.select("url", F.col("domain").alias("source_domain"), "title", F.col("text").alias("content"), "stamp", F.col("stamp").alias("at")), stored)
+    counts = hits.agg(F.count("*").alias("found")).crossJoin(new.agg(F.count("*").alias("ingested")))
+    return new.drop("at"), counts
+
+
+def fetched_pages(urls_in: DataFrame, fetchers: list[Callable[[str, float], str | None]], timeouts: list[float] | None = None, concurrency: int = 8, useful: int = USEFUL) -> DataFrame:
+    """(url, text, way, error) of every url: the fetchers (direct, archive, cache) are tried in order, each
+    with its seconds, until one gives a useful text; else the longest that came. Errors are values."""
+    seconds = timeouts or [15.0, 20.0, 20.0]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for url in frame["url"]:
+                best, way, errors = None, None, []
+                for n, fetch in enumerate(fetchers):
+                    try:
+                        text = main_text(fetch(url, seconds[min(n, len(seconds) - 1)]))
+                    except Exception as e:  # a page that fails must not end the batch
+                        errors.append(f"{type(e).__name__}: {e}")
+                        continue
+                    if text and len(text) > len(best or ""):
+                        best, way = text, n
+                    if best and len(best) >= useful:
+                        break
+                rows.append((url, best, way, "; ".join(errors) or None))
+            yield pd.DataFrame(rows, columns=["url", "text", "way", "error"]).astype({"way": "Int64"})
+
+    return urls_in.select("url").distinct().repartition(concurrency, "url").mapInPandas(run, "url string, text string, way bigint, error string")
+
+
+def new_clusters(attached: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attached with every article in a cluster, the clusters to insert): an article that joined none
+    begins one, named after it. Articles of one batch that belong together meet in the merge cycle."""
+    named = attached.withColumn("topic_cluster_id", F.coalesce("topic_cluster_id", F.sha2(F.concat(F.lit("cluster:"), "id"), 256)))
+    begun = named.where(F.col("matched_by") == "new").select("id", "topic_cluster_id").join(articles.select("id", "title", "ingested"), "id")
+    clusters = begun.select(F.col("topic_cluster_id").alias("id"), F.col("title").alias("canonical_title"), F.lit("world").alias("section"), F.col("ingested").alias("last_updated_at"))
+    return named, clusters
+
+
 def links_articles(urls_in: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Links (pos, url) in their order with the stored article, where the source is known and one is stored; others are to be fetched."""
     gated = gate(urls_in, "url", sources)

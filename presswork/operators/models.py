@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -51,7 +51,115 @@ class HashingProvider:
         return json.dumps({"headline": prompt.splitlines()[0], "body": body, "sourceDomains": sorted({d for d, _ in cited}), "claimAttributions": claims})
 
 
+class RemoteProvider:
+    """A model behind a service. ``post`` (path, headers, payload, seconds) sends a JSON request and
+    returns the JSON answer; it is handed in, so nothing here opens a connection."""
+
+    name, model_version, chat_path, embed_path = "remote", "", "/chat", "/embed"
+    seconds = {"synthesize": 300.0, "embed": 15.0}  # how long an answer may take
+    embed_chars = 8000
+
+    def __init__(self, post: Callable[[str, dict, dict, float], dict], model: str, embed_model: str | None = None, key: str | None = None, temperature: float = 0.3):
+        self.post, self.model_version, self.embed_model, self.key, self.temperature = post, model, embed_model or model, key, temperature
+
+    def headers(self) -> dict:
+        return {"authorization": f"Bearer {self.key}"} if self.key else {}
+
+    def chat_payload(self, prompt: str) -> dict:
+        return {"model": self.model_version, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "stream": False}
+
+    def answer_text(self, answer: dict) -> str:
+        return answer["message"]["content"]
+
+    def embed_payload(self, text: str) -> dict:
+        return {"model": self.embed_model, "prompt": text}
+
+    def answer_vector(self, answer: dict) -> list[float] | None:
+        return answer.get("embedding")
+
+    def synthesize(self, prompt: str) -> str:
+        return self.answer_text(self.post(self.chat_path, self.headers(), self.chat_payload(prompt), self.seconds["synthesize"]))
+
+    def embed(self, text: str) -> list[float] | None:
+        return self.answer_vector(self.post(self.embed_path, self.headers(), self.embed_payload(text[: self.embed_chars]), self.seconds["embed"]))
+
+
+class LocalChat(RemoteProvider):
+    """A local server with its own chat and embedding calls."""
+
+    name, chat_path, embed_path = "local-chat", "/api/chat", "/api/embeddings"
+
+    def chat_payload(self, prompt: str) -> dict:
+        return {"model": self.model_version, "messages": [{"role": "user", "content": prompt}], "stream": False, "options": {"temperature": self.temperature}}
+
+
+class CompletionsApi(RemoteProvider):
+    """A server, local or hosted, with the widespread chat-completions and embeddings calls."""
+
+    name, chat_path, embed_path = "completions", "/v1/chat/completions", "/v1/embeddings"
+
+    def answer_text(self, answer: dict) -> str:
+        return answer["choices"][0]["message"]["content"]
+
+    def embed_payload(self, text: str) -> dict:
+        return {"model": self.embed_model, "input": text}
+
+    def answer_vector(self, answer: dict) -> list[float] | None:
+        return (answer.get("data") or [{}])[0].get("embedding")
+
+
+class HostedCompletions(CompletionsApi):
+    """The hosted form: JSON answers are asked for, and a key is needed."""
+
+    name = "hosted-completions"
+
+    def chat_payload(self, prompt: str) -> dict:
+        return {**super().chat_payload(prompt), "response_format": {"type": "json_object"}}
+
+
+class HostedMessages(RemoteProvider):
+    """A hosted messages call whose answer is a list of parts. It has no vectors: articles that it
+    serves are stored without one."""
+
+    name, chat_path = "hosted-messages", "/v1/messages"
+
+    def headers(self) -> dict:
+        return {"x-api-key": self.key} if self.key else {}
+
+    def chat_payload(self, prompt: str) -> dict:
+        return {"model": self.model_version, "max_tokens": 8192, "messages": [{"role": "user", "content": prompt}]}
+
+    def answer_text(self, answer: dict) -> str:
+        return "".join(part["text"] for part in answer.get("content", []) if part.get("type") == "text")
+
+    def embed(self, text: str) -> list[float] | None:
+        return None
+
+
 PROVIDERS = {"hashing": HashingProvider}
+REMOTE = {p.name: p for p in (LocalChat, CompletionsApi, HostedCompletions, HostedMessages)}
+
+
+def connected(name: str, post: Callable[[str, dict, dict, float], dict], **options: object) -> Callable[[], Provider]:
+    """A maker of the named remote provider, to be given where a provider is asked for; calls that
+    fail give no answer and no vector."""
+
+    def make() -> Provider:
+        model = REMOTE[name](post, **options)
+
+        def guarded(call: Callable, missing: object) -> Callable:
+            def run(text: str) -> object:
+                try:
+                    return call(text)
+                except Exception:  # one call that fails must not end the batch; a missing answer fails its check
+                    return missing
+
+            return run
+
+        model.synthesize, model.embed = guarded(model.synthesize, ""), guarded(model.embed, None)
+        return model
+
+    return make
 
 
 def configured(settings: dict[str, str]) -> Provider:
@@ -59,7 +167,7 @@ def configured(settings: dict[str, str]) -> Provider:
     return PROVIDERS[settings.get("llm_provider") or os.environ.get("PRESSWORK_PROVIDER") or "hashing"]()
 
 
-def embed_udf(provider: type[Provider] = HashingProvider):
+def embed_udf(provider: Callable[[], Provider] = HashingProvider):
     """Scalar iterator UDF: one provider a worker, any number of batches."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -93,7 +201,7 @@ def prompt(title: Column, articles: Column, mode: Column, cap: int = 8, size: in
 ANSWER = "headline string, deck string, body string, sourceDomains array<string>, claimAttributions array<struct<claimText:string,attributedDomains:array<string>>>, confidence double"
 
 
-def _asked(requests: DataFrame, provider: type[Provider]) -> DataFrame:
+def _asked(requests: DataFrame, provider: Callable[[], Provider]) -> DataFrame:
     """(id, own, raw): each request answered once, written to the shared folder so that nothing asks again."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +219,7 @@ def _judged(asked: DataFrame) -> DataFrame:
     return asked.select("id", F.coalesce(F.size(st.failures(a["body"], cited, F.col("own"), F.col("own"))) == 0, F.lit(False)).alias("ok"), a.alias("answer"))
 
 
-def synthesize(requests: DataFrame, provider: type[Provider] = HashingProvider, default_confidence: float = 0.0, retry: bool = True) -> DataFrame:
+def synthesize(requests: DataFrame, provider: Callable[[], Provider] = HashingProvider, default_confidence: float = 0.0, retry: bool = True) -> DataFrame:
     """(id, ok, answer): each request (id, prompt, own array<string>) answered, parsed and checked;
     those that fail are asked once more. A model is called once a row, and once more for failures."""
     tried = _judged(_asked(requests, provider))

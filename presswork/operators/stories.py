@@ -77,6 +77,36 @@ def section_of(stories: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.groupBy("id").agg(F.when(F.bool_or(F.coalesce("b", F.lit(False))), "business").otherwise("world").alias("section"))
 
 
+def story_views(stories: DataFrame, articles: DataFrame, sources: DataFrame, prefix: str = "Compiled from ") -> DataFrame:
+    """Stories as they are read: (id, slug, section, headline, deck, byline, refreshed_at, blocks, sources,
+    claim_attributions, market_impacts, mode, single_source). ``sources`` are those that are known, in
+    stored order, each with the address of its latest article of the cluster, of all, or its own."""
+    listed = stories.select("id", F.posexplode("source_domains").alias("pos", "domain"))
+    named = listed.join(sources.select("domain", "display_name", "category", "bias_rating", "credibility_score", "factual_reporting"), "domain")
+    linked = named.join(source_links(stories, articles), ["id", "domain"], "left").withColumn("url", F.coalesce("url", F.concat(F.lit("https://"), "domain")))
+    ref = F.struct("pos", "domain", "display_name", "category", "bias_rating", "credibility_score", "factual_reporting", "url")
+    refs = linked.groupBy("id").agg(F.array_sort(F.collect_list(ref)).alias("sources"))
+    joined = stories.join(refs, "id", "left").join(section_of(stories, sources), "id", "left")
+    known = F.coalesce(F.size("sources"), F.lit(0))
+    return joined.select(
+        "id", "slug", "section", "headline", F.coalesce("deck", F.lit("")).alias("deck"),
+        F.concat(F.lit(prefix), F.coalesce(F.array_join("sources.display_name", ", "), F.lit(""))).alias("byline"),
+        "refreshed_at", st.blocks(F.col("body")).alias("blocks"), "sources", "claim_attributions",
+        F.coalesce("market_impacts", F.array()).alias("market_impacts"), F.col("source_mode").alias("mode"), (known <= 1).alias("single_source"),
+    )
+
+
+def or_fixture(found: DataFrame, fixture: DataFrame) -> DataFrame:
+    """What was found, or the fixture's rows where nothing was (one row is looked for)."""
+    return fixture.select(*found.columns) if found.isEmpty() else found
+
+
+def of_section(cards: DataFrame, section: str | None) -> DataFrame:
+    """Cards of one section; none, blank and "all" mean every section."""
+    wanted = (section or "").strip().lower()
+    return cards if wanted in ("", "all") else cards.where(F.lower("section") == wanted)
+
+
 def front_page(stories: DataFrame, sources: DataFrame, size: int = 8) -> DataFrame:
     """(place, role, id, slug, headline, byline, single_source): the latest stories, the first as the lead."""
     top = stories.orderBy(F.desc("refreshed_at"), "id").limit(size)

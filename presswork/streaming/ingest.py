@@ -34,9 +34,13 @@ def store_batches(items: DataFrame, store: Store, sources: DataFrame, checkpoint
 
 def attach_stream(articles: DataFrame, key: str, threshold: float = 0.74, hours: float = 24) -> DataFrame:
     """(id, topic_cluster_id, similarity, matched_by) of a stream of articles. The clusters of a key are
-    its state; those out of the window leave it, so state is bounded by the window, not the stream."""
+    its state; those out of the window leave it, and a key whose last article is twice the window
+    behind the watermark loses its state, so state is bounded by the window, not the stream."""
 
     def step(_key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         clusters = OnlineClusters(threshold, hours)
         if state.exists:
             for cluster, total, count, names, updated in json.loads(state.get[0]):
@@ -54,15 +58,45 @@ def attach_stream(articles: DataFrame, key: str, threshold: float = 0.74, hours:
         live = [i for i, u in enumerate(clusters.updated) if latest - u <= pd.Timedelta(hours=hours)]
         kept = [(clusters.ids[i], clusters.sums[i].tolist(), clusters.counts[i], sorted(clusters.entities[i]), clusters.updated[i].isoformat()) for i in live]
         state.update((json.dumps(kept),))
+        ends = int(latest.tz_localize("UTC").timestamp() * 1000) + int(2 * hours * 3_600_000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["id", "topic_cluster_id", "similarity", "matched_by"])
 
-    columns = articles.select("id", "ingested", "embedding", "entities", F.col(key).alias("__key"))
+    timed = articles.withColumn("__at", F.col("ingested").cast("timestamp")).withWatermark("__at", f"{max(1, int(hours))} hours")
+    columns = timed.select("id", "ingested", "embedding", "entities", "__at", F.col(key).alias("__key"))
     return columns.groupBy("__key").applyInPandasWithState(
         step, "id string, topic_cluster_id string, similarity double, matched_by string",
-        "clusters string", "append", "NoTimeout",
+        "clusters string", "append", "EventTimeTimeout",
     )
 
 
+def refresh_triggers(arrivals: DataFrame, least_new: int = 3, age_hours: float = 6.0) -> DataFrame:
+    """(topic_cluster_id, articles, why) of a stream of arrivals (topic_cluster_id, at): a cluster is
+    to be compiled anew once ``least_new`` articles have come since the last time, or some have and
+    ``age_hours`` have passed since the first of them, which a timer finds without another arrival."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], waiting, "age")], columns=["topic_cluster_id", "articles", "why"])
+            return
+        fresh = not waiting
+        waiting += sum(map(len, frames))
+        if waiting >= least_new:
+            state.remove()
+            yield pd.DataFrame([(key[0], waiting, "new")], columns=["topic_cluster_id", "articles", "why"])
+            return
+        until = state.getCurrentProcessingTimeMs() + int(age_hours * 3_600_000) if fresh else state.get[1]
+        state.update((waiting, until))
+        state.setTimeoutDuration(max(1, until - state.getCurrentProcessingTimeMs()))
+
+    rows = arrivals.where("topic_cluster_id is not null").select("topic_cluster_id", "at")
+    return rows.groupBy("topic_cluster_id").applyInPandasWithState(
+        step, "topic_cluster_id string, articles bigint, why string", "waiting bigint, until bigint", "append", "ProcessingTimeTimeout"
+    )
+
+
 def new_since_refresh(arrivals: DataFrame, window: str = "6 hours", late: str = "1 day") -> DataFrame:
     """(topic_cluster_id, window, articles): arrivals per cluster and event-time window, for refresh triggers."""
     timed = arrivals.withWatermark("at", late)
