@@ -30,10 +30,34 @@ def _hash(text: str) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _counted(text: str, title: str | None, codes: list[int]) -> tuple:
-    """(what the page counts as, codes of its lines, numbers and keys of what is counted)."""
-    found = pages.marks(text.replace("\r", "").split("\n"), codes)
-    return _hash((title or "").strip() or text), codes, [i for i, _ in found], [_hash(k) for _, k in found]
+class Counted:
+    """(what a page counts as, codes of its lines, numbers and keys of what is counted) of a page; short
+    lines are remembered within a task. The last line may be cut anywhere and has no label behind it."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def keys(self, line: str) -> tuple[int, ...]:
+        found = self.known.get(line)
+        if found is None:
+            found = tuple(_hash(k) if k else 0 for k in pages.marks(line))
+            if len(line) < 200:
+                if len(self.known) > 50_000:
+                    self.known.clear()
+                self.known[line] = found
+        return found
+
+    def __call__(self, text: str, title: str | None, codes: list[int]) -> tuple:
+        numbers, keys = [], []
+        lettered = [i for i, c in enumerate(codes) if c & 7 != pages.NONE]
+        lines = text.replace("\r", "").split("\n")
+        for i in lettered:
+            line, lead, trail = self.keys(lines[i])
+            for key in (line, lead, trail if i != lettered[-1] else 0):
+                if key:
+                    numbers.append(i)
+                    keys.append(key)
+        return _hash((title or "").strip() or text), codes, numbers, keys
 
 
 def repeated_lines(judged: DataFrame, sources: DataFrame, least: int) -> DataFrame:
@@ -57,7 +81,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def noise_lines(df: DataFrame, id_col: str = "id", title_col: str = "title", text_col: str = "content", source_col: str = "source_domain", least: int = LEAST) -> DataFrame:
     """(id, line_no): every line with a letter that holds nothing of the article's body, on pages
     that are not residue (problem 7). The text is read and judged once for both questions."""
-    judged = residue.judged_pages(df, id_col, title_col, text_col, _counted, "page bigint, codes array<int>, numbers array<int>, keys array<bigint>")
+    judged = residue.judged_pages(df, id_col, title_col, text_col, Counted(), "page bigint, codes array<int>, numbers array<int>, keys array<bigint>")
     once = judged.dropDuplicates(["id"])
     source = F.xxhash64(F.col(source_col).cast("string"))
     sources = df.select(F.col(id_col).cast("string").alias("id"), source.alias("source")).where("id is not null").dropDuplicates(["id"])

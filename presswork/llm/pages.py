@@ -211,20 +211,13 @@ def segments(line: str) -> list[str]:
     return found
 
 
-def marks(lines: list[str], codes: list[int]) -> list[tuple[int, str]]:
-    """(number from 0, what is counted) of the lines of a page: their letters, and those of the labels
-    that lead or trail them. The last line may be cut anywhere and has no label behind it."""
-    last = max((i for i, c in enumerate(codes) if c & 7 != NONE), default=-1)
-    out = []
-    for i, line in enumerate(lines):
-        if codes[i] & 7 == NONE:
-            continue
-        out.append((i, letters(line)))
-        for label in segments(line):
-            key = letters(label)
-            if key and (i < last or label[0] == "<"):
-                out.append((i, label[0] + key))
-    return out
+def marks(line: str) -> tuple[str, str, str]:
+    """What is counted of a line: its letters, and those of the labels that lead and trail it. Of long
+    lines, which nobody varies by a figure, case and blanks alone are left out."""
+    if len(line) >= LONG:
+        return "".join(line.lower().split()), "", ""
+    labels = {label[0]: label[0] + key for label in segments(line) if (key := letters(label))}
+    return letters(line), labels.get("<", ""), labels.get(">", "")
 
 
 def settle(codes: list[int], repeated: frozenset[int] | set[int] = frozenset()) -> list[int]:

@@ -160,15 +160,23 @@ def masked(main: str, title: str | None) -> str:
     return _NAME.sub("N", _CODE.sub("0", text)).lower()
 
 
+class Memo(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) | 1
+        return found
+
+
 def shingles(text: str, memo: dict[str, int]) -> np.ndarray:
     """Hashes of the five-word shingles of a text (of all its words, if they are fewer)."""
-    words = text.split()
-    if len(memo) > 200_000:
-        memo.clear()
-    try:
-        known = [memo[w] for w in words]
-    except KeyError:
-        known = [memo.get(w) or memo.setdefault(w, xxhash.xxh3_64_intdigest(w.encode()) | 1) for w in words]
+    return word_shingles(text.split(), memo if isinstance(memo, Memo) else Memo(memo))
+
+
+def word_shingles(words: list[str], memo: Memo) -> np.ndarray:
+    known = [memo[w] for w in words]
     h = np.array(known or [1], dtype=np.uint64)
     k = min(SHINGLE, len(h))
     out = np.zeros(len(h) - k + 1, dtype=np.uint64)
@@ -205,7 +213,7 @@ def judged_pages(df: DataFrame, id_col: str = "id", title_col: str = "title", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        memo: dict[str, int] = {}
+        memo = Memo()
         for batch in batches:
             rows = []
             for i, title, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -270,7 +278,7 @@ def linked(frontier: DataFrame, others: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    memo: dict[str, int] = {}
+    memo = Memo()
     out = []
     for x, y in zip(a, b):
         s, t = np.unique(shingles(x, memo)), np.unique(shingles(y, memo))
