@@ -150,10 +150,12 @@ def seeded_sources(spark, d):
     return store.insert_new(s.where("category <> 'business'"), s, ["domain"]).select("domain", "display_name")
 
 
-@query(r"""SELECT id, sha256(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS content_hash FROM (SELECT DISTINCT ON (id) id, content FROM articles) WHERE NOT regexp_matches(content, '[\x{00a0}\x{2000}-\x{200a}\x{202f}\x{feff}\x{0b}]')""")
+_SPACES = r"[\s\x{000b}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+
+
+@query(f"SELECT id, sha256(trim(regexp_replace(content, '{_SPACES}', ' ', 'g'))) AS content_hash FROM (SELECT DISTINCT ON (id) id, content FROM articles)")
 def content_hashes(spark, d):
-    a = table(spark, d, "articles").select("id", "content").dropDuplicates(["id"]).where(~F.col("content").rlike("[\u00a0\u2000-\u200a\u202f\ufeff\u000b]"))
-    return a.select("id", tx.content_hash(F.col("content")).alias("content_hash"))
+    return table(spark, d, "articles").select("id", "content").dropDuplicates(["id"]).select("id", tx.content_hash(F.col("content")).alias("content_hash"))
 
 
 @query(r"""WITH a AS (SELECT DISTINCT ON (id) id, url, source_domain, sha256(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS h FROM articles),
@@ -196,9 +198,12 @@ def upserted_sources(spark, d):
     return store.upsert(s, store.user_sources(typed), "domain", ["display_name", "credibility_score", "factual_reporting", "bias_rating", "notes"]).select("domain", "display_name", "credibility_score", "category")
 
 
-@query("SELECT domain FROM sources WHERE NOT (domain = 'unionchronicle.test' AND coalesce(contains(notes, 'User-added'), false))")
+@query("SELECT domain FROM sources UNION ALL SELECT 'other.example'")
 def sources_after_delete(spark, d):
-    return store.delete_user_source(views.sources(spark, d), "UnionChronicle.test").select("domain")
+    """Two sources that a user added, of which one is deleted again; one of the given sources, which is not."""
+    typed = spark.createDataFrame([("https://www.NEW.example/feed",), ("other.example",)], "domain string")
+    every = store.upsert(views.sources(spark, d), store.user_sources(typed), "domain", [])
+    return store.delete_user_source(store.delete_user_source(every, "New.example"), "UnionChronicle.test").select("domain")
 
 
 @query("SELECT s.id, s.reused_count + coalesce(h.n, 0) AS reused_count FROM compiled_stories s LEFT JOIN (SELECT compiled_story_id AS id, count(*) AS n FROM synthesis_history GROUP BY 1) h USING (id)")
@@ -224,10 +229,10 @@ def updated_by_key(spark, d):
 
 @query(f"""WITH {ART}, x AS (SELECT topic_cluster_id AS c, embedding AS e FROM art WHERE topic_cluster_id IS NOT NULL AND len(embedding) = 64 QUALIFY row_number() OVER (PARTITION BY topic_cluster_id ORDER BY ingested, id) <= 20),
     u AS (SELECT c, unnest(e) AS v, unnest(range(1, 65)) AS i FROM x), m AS (SELECT c, i, avg(v) AS v FROM u GROUP BY c, i)
-    SELECT c AS topic_cluster_id, round(sqrt(sum(v * v)), 6) AS size, round(max(CASE WHEN i = 1 THEN v END), 6) AS first FROM m GROUP BY c""")
+    SELECT c AS topic_cluster_id, CAST(i AS INT) AS place, round(v, 6) + 0.0 AS value FROM m""")
 def cluster_centroids(spark, d):
     c = cl.centroids(views.articles(spark, d, "topic_cluster_id", "embedding"))
-    return c.select("topic_cluster_id", F.round(F.sqrt(vc.dot(F.col("centroid"), F.col("centroid"))), 6).alias("size"), F.round(F.col("centroid")[0], 6).alias("first"))
+    return c.select("topic_cluster_id", F.posexplode("centroid").alias("i", "v")).select("topic_cluster_id", (F.col("i") + 1).alias("place"), (F.round("v", 6) + 0.0).alias("value"))
 
 
 _CENTRES = f"""{ART}, r AS (SELECT id FROM topic_clusters WHERE last_updated_at >= {NOW_SQL} - INTERVAL 1000 HOURS),
@@ -282,6 +287,11 @@ def cluster_entity_counts(spark, d):
     return cl.cluster_entities(views.articles(spark, d, "topic_cluster_id", "entities")).groupBy("topic_cluster_id").agg(F.count("*").alias("entities"))
 
 
+@query("SELECT DISTINCT topic_cluster_id, entity FROM (SELECT topic_cluster_id, unnest(entities) AS entity FROM articles WHERE topic_cluster_id IS NOT NULL) WHERE entity IS NOT NULL")
+def cluster_entity_rows(spark, d):
+    return cl.cluster_entities(views.articles(spark, d, "topic_cluster_id", "entities")).select("topic_cluster_id", "entity")
+
+
 _SNAP = f"""{ART}, n AS (SELECT topic_cluster_id AS id, count(*) AS articles FROM art WHERE topic_cluster_id IS NOT NULL GROUP BY 1),
     l AS (SELECT topic_cluster_id AS id, entities FROM art WHERE topic_cluster_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic_cluster_id ORDER BY ingested DESC, id) <= 50),
     e AS (SELECT DISTINCT id, unnest(entities) AS entity FROM l)"""
@@ -430,11 +440,47 @@ def uncited_paragraphs(spark, d):
     return views.stories(spark, d).select("id", F.size(F.filter(st.paragraphs(F.col("body")), lambda p: ~st.has_citation(p))).cast("bigint").alias("bare"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT DISTINCT ON (id) id, topic_cluster_id, list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', title, content)), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 4)) AS aw FROM articles),
+    c AS (SELECT id, topic_cluster_id, unnest(range(len(claim_attributions))) AS n, unnest(claim_attributions).claimText AS t FROM compiled_stories),
+    w AS (SELECT id, topic_cluster_id, n, list_distinct(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 4)) AS cw FROM c),
+    s AS (SELECT w.id, w.n, max(coalesce(CASE WHEN len(cw) > 0 THEN len(list_intersect(cw, aw)) / len(cw) WHEN cw IS NOT NULL THEN 1.0 END, 0)) AS best FROM w LEFT JOIN a ON a.topic_cluster_id = w.topic_cluster_id GROUP BY 1, 2)
+    SELECT id, count(*) AS claims, count(*) FILTER (WHERE best < 0.6) AS ungrounded FROM s GROUP BY 1""")
 def ungrounded_claims(spark, d):
     return stories.ungrounded(views.stories(spark, d), views.articles(spark, d, "topic_cluster_id", "title", "content"))
 
 
+@query(f"""WITH {ART}, l AS (SELECT id, topic_cluster_id AS c, unnest(source_domains) AS domain, unnest(range(len(source_domains))) AS pos FROM compiled_stories),
+    n AS (SELECT topic_cluster_id AS c, source_domain AS domain, arg_max(url, (ingested, id)) AS url FROM art WHERE topic_cluster_id IS NOT NULL GROUP BY 1, 2), o AS (SELECT source_domain AS domain, arg_max(url, (ingested, id)) AS url FROM art GROUP BY 1),
+    r AS (SELECT l.id, string_agg(s.display_name, ', ' ORDER BY pos) AS names, string_agg(coalesce(n.url, o.url, 'https://' || l.domain), ' ' ORDER BY pos) AS urls, count(*) AS known, bool_or(s.category = 'business') AS b
+      FROM l JOIN sources s ON s.domain = l.domain LEFT JOIN n ON n.c = l.c AND n.domain = l.domain LEFT JOIN o ON o.domain = l.domain GROUP BY 1)
+    SELECT t.id, CASE WHEN b THEN 'business' ELSE 'world' END AS section, 'Compiled from ' || coalesce(names, '') AS byline, coalesce(urls, '') AS urls, coalesce(known, 0) <= 1 AS single_source FROM compiled_stories t LEFT JOIN r USING (id)""")
+def story_views(spark, d):
+    v = stories.story_views(views.stories(spark, d), views.articles(spark, d, "topic_cluster_id", "source_domain", "url"), views.sources(spark, d))
+    return v.select("id", "section", "byline", F.coalesce(F.array_join("sources.url", " "), F.lit("")).alias("urls"), "single_source")
+
+
+@query("SELECT id, canonical_title FROM topic_clusters WHERE lower(section) = 'world'")
+def section_cards(spark, d):
+    return stories.of_section(views.clusters(spark, d), " World ").select("id", "canonical_title")
+
+
+@query("""WITH f AS (SELECT topic_cluster_id, string_agg(url, chr(13) || chr(10) || '  ' ORDER BY url) || chr(10) AS form FROM (SELECT DISTINCT topic_cluster_id, url FROM articles WHERE topic_cluster_id IS NOT NULL) GROUP BY 1)
+    SELECT topic_cluster_id, array_to_string(list_filter(list_transform(regexp_split_to_array(form, '\\r\\n|\\r|\\n'), lambda x: trim(x)), lambda x: x <> ''), ' ') AS links FROM f""")
+def form_links(spark, d):
+    a = table(spark, d, "articles").where("topic_cluster_id is not null").groupBy("topic_cluster_id").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+    form = F.concat(F.array_join("urls", "\r\n  "), F.lit("\n"))
+    return a.select("topic_cluster_id", F.array_join(tx.form_lines(form), " ").alias("links"))
+
+
+@query(r"""WITH u AS (SELECT DISTINCT topic_cluster_id AS c, url FROM articles WHERE topic_cluster_id IS NOT NULL), p AS (SELECT c, regexp_extract(url, '^(https?)://', 1) AS s, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '') AS h,
+      regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_content', 'utm_term', 'fbclid', 'gclid', 'ref', 'ref_src')) AS q FROM u),
+    k AS (SELECT DISTINCT c, s || '://' || h || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM p)
+    SELECT c AS topic_cluster_id, sha256(array_to_string(list_sort(list(url)), chr(10))) AS hash FROM k GROUP BY 1""")
+def link_hashes(spark, d):
+    a = table(spark, d, "articles").where("topic_cluster_id is not null").groupBy("topic_cluster_id").agg(F.collect_list("url").alias("urls"))
+    return a.select("topic_cluster_id", urls.links_hash(F.col("urls")).alias("hash"))
+
+
 @query("""WITH m AS (SELECT id, unnest(market_impacts) AS m, unnest(range(len(market_impacts))) AS pos FROM compiled_stories)
     SELECT id, m.ticker AS ticker, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(m.score) DESC, pos) AS INT) AS place,
       CASE WHEN abs(m.score) <= 20 THEN 'minor' WHEN abs(m.score) <= 50 THEN 'moderate' WHEN abs(m.score) <= 80 THEN 'significant' ELSE 'extreme' END AS label,
@@ -457,10 +503,13 @@ def sitemap(spark, d):
     return fixed.unionByName(told.select(F.concat(F.lit("/topic/"), "slug").alias("loc"), F.lit(0.7).alias("priority")))
 
 
-@query()
+@query("SELECT id, 'NewsArticle' AS kind, headline, deck, len(source_domains) AS sources FROM compiled_stories")
 def story_export(spark, d):
+    """Stories as linked-data objects, read back."""
     s = views.stories(spark, d)
-    return s.select("id", F.to_json(F.struct(F.lit("NewsArticle").alias("@type"), F.col("headline"), F.col("deck").alias("description"), F.col("source_domains").alias("isBasedOn"))).alias("json"))
+    made = s.select("id", F.to_json(F.struct(F.lit("NewsArticle").alias("@type"), F.col("headline"), F.col("deck").alias("description"), F.col("source_domains").alias("isBasedOn"))).alias("json"))
+    read = F.from_json("json", "`@type` string, headline string, description string, isBasedOn array<string>")
+    return made.select("id", read.alias("r")).select("id", F.col("r.`@type`").alias("kind"), "r.headline", F.col("r.description").alias("deck"), F.size("r.isBasedOn").cast("bigint").alias("sources"))
 
 
 # --- archives, links, models
@@ -473,11 +522,11 @@ def archive_listing(spark, d):
     return ingest.archive_hits(hits, "Water of Board", 50, 8)
 
 
-@query("""WITH l AS (SELECT url, min(id) AS id FROM articles WHERE source_domain < 'f' GROUP BY url), u AS (SELECT url, row_number() OVER (ORDER BY url) AS pos FROM (SELECT DISTINCT url FROM articles))
+@query("""WITH l AS (SELECT url, min(id) AS id FROM articles WHERE source_domain < 'f' GROUP BY url), u AS (SELECT source_domain, url, row_number() OVER (PARTITION BY source_domain ORDER BY url) AS pos FROM (SELECT DISTINCT source_domain, url FROM articles))
     SELECT CAST(u.pos AS INT) AS pos, u.url, l.id IS NULL AS fetch FROM u LEFT JOIN l USING (url)""")
 def linked_articles(spark, d):
     a = table(spark, d, "articles").select("url", "id", "title", "source_domain")
-    wanted = a.select("url").distinct().withColumn("pos", F.row_number().over(Window.orderBy("url")))
+    wanted = a.select("source_domain", "url").distinct().withColumn("pos", F.row_number().over(Window.partitionBy("source_domain").orderBy("url"))).drop("source_domain")
     return ingest.links_articles(wanted, a.where("source_domain < 'f'"), views.sources(spark, d)).select("pos", "url", "fetch")
 
 
@@ -592,11 +641,10 @@ def query_keywords(spark, d):
     return table(spark, d, "synthesis_history").select("id", F.array_join(tx.keywords(F.col("query_text")), " ").alias("words"))
 
 
-@query("""WITH t AS (SELECT id, regexp_replace(strip_accents(lower(headline)), '[^a-z0-9]+', '-', 'g') AS s FROM compiled_stories WHERE NOT contains(headline, 'ß'))
+@query("""WITH t AS (SELECT id, regexp_replace(strip_accents(lower(headline)), '[^a-z0-9]+', '-', 'g') AS s FROM compiled_stories)
     SELECT id, substr(regexp_replace(s, '^-|-$', '', 'g'), 1, 70) || '-' || substr(id, 1, 6) AS slug FROM t""")
 def story_slugs(spark, d):
-    s = views.stories(spark, d).where(~F.contains("headline", F.lit("ß")))
-    return s.select("id", tx.slug(F.col("headline"), 70, F.col("id")).alias("slug"))
+    return views.stories(spark, d).select("id", tx.slug(F.col("headline"), 70, F.col("id")).alias("slug"))
 
 
 @query(f"""SELECT id, strftime(refreshed_at, '%A, %B %-d, %Y') AS long_date, strftime(refreshed_at, '%H:%M') || ' UTC' AS clock, 'No. ' || lpad(CAST(dayofyear(refreshed_at) AS VARCHAR), 3, '0') AS issue,
