@@ -85,7 +85,8 @@ def _nearest_of(rows: list):
                         zero = (score[part] < 0) | ((score[part] == 0) & (other < best[part]))
                         best[part] = np.where(zero, other, best[part])
                         score[part] = np.where(zero, 0.0, score[part])
-            yield pd.DataFrame({"id": frame["id"], "topic_cluster_id": [names[i] for i in best], "similarity": score}) if names else pd.DataFrame({"id": [], "topic_cluster_id": [], "similarity": []})
+            if names:
+                yield pd.DataFrame({"id": frame["id"], "topic_cluster_id": [names[i] for i in best], "similarity": score})
 
     return run
 
