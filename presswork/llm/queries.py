@@ -17,6 +17,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setpairs.similar_pairs(table(spark, sf_dir, "articles"), "id", "entities", threshold=0.6, min_size=3)
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setpairs.linked_classes(table(spark, sf_dir, "articles"), "id", "entities", threshold=0.6, min_size=3)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = (("article", "articles", "embedding"), ("story", "compiled_stories", "headline_embedding"))
     found = [neighbours.nearest_pairs(table(spark, sf_dir, t), "id", c).select(F.lit(kind).alias("record_kind"), "id_a", "id_b") for kind, t, c in kinds]
@@ -70,5 +74,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p6_shares, p7_found, p8_ids, p9_mixture, p9_shares, p9_exact_shares, p10_found)
+    f.__name__: f for f in (p2_found, p2_classes, p3_found, p4_found, p5_found, p6_found, p6_shares, p7_found, p8_ids, p9_mixture, p9_shares, p9_exact_shares, p10_found)
 }

@@ -141,6 +141,14 @@ def class_links(sets: DataFrame, threshold: float, anchor: bool = True, hot: int
     return near.join(a, "a").join(b, "b").select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
 
+def linked_classes(df: DataFrame, id_col: str, set_col: str, threshold: float = 0.6, min_size: int = 3, **index: object) -> DataFrame:
+    """(id, class, links): every record with the class of records whose sets equal its own, and how many
+    other classes are linked to it. Copies are not expanded into pairs, however many they are."""
+    members, sets = classes(df, id_col, set_col, min_size)
+    links = class_links(sets, threshold, **index).select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return members.join(links, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def similar_pairs(df: DataFrame, id_col: str, set_col: str, threshold: float = 0.6, min_size: int = 3, **index: object) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of records at or above the threshold."""
     members, sets = classes(df, id_col, set_col, min_size)

@@ -58,6 +58,13 @@ def test_any_sets(spark, sets):
     assert pairs(setpairs.similar_pairs(spark.createDataFrame(rows, SETS), "id", "entities", hot=4)) == jaccard_pairs(rows)
 
 
+def test_classes_of_copies(spark):
+    rows = [(f"c{i:03d}", ["a", "b", "c", "d"], "", 0) for i in range(300)] + [("n", ["a", "b", "c", "e"], "", 0), ("far", ["x", "y", "z"], "", 0), ("few", ["a"], "", 0)]
+    got = {r["id"]: (r["class"], r["links"]) for r in setpairs.linked_classes(spark.createDataFrame(rows, SETS), "id", "entities").collect()}
+    assert len({got[f"c{i:03d}"] for i in range(300)}) == 1 and got["c000"][1] == got["n"][1] == 1
+    assert got["far"][1] == 0 and "few" not in got
+
+
 VECTORS = "id string, embedding array<double>, rep string, near string"
 
 
