@@ -260,3 +260,23 @@ def test_sections_and_fixture(spark):
 def test_repair_is_linear():
     raw = '{"a": "' + 'he said "no" and left, ' * 20_000 + '"}'
     assert json.loads(repair_json(raw))["a"].startswith('he said "no"')
+
+
+def test_refresh_triggers_by_number_and_by_timer(spark, tmp_path):
+    import time
+
+    from presswork.streaming import ingest as stream
+
+    folder = str(tmp_path / "in")
+    rows = [("busy", NOW)] * 4 + [("slow", NOW), (None, NOW)]
+    spark.createDataFrame(rows, "topic_cluster_id string, at timestamp").coalesce(1).write.parquet(folder)
+    live = spark.readStream.schema("topic_cluster_id string, at timestamp").parquet(folder)
+    made = stream.refresh_triggers(live, 3, 2 / 3600)
+    run = made.writeStream.format("memory").queryName("refreshes").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 40
+        while time.time() < until and spark.table("refreshes").count() < 2:
+            time.sleep(1)
+    finally:
+        run.stop()
+    assert sorted(map(tuple, spark.table("refreshes").collect())) == [("busy", 4, "new"), ("slow", 1, "age")]
