@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -204,14 +206,18 @@ def snapshot(articles: DataFrame, clusters: DataFrame, latest: int = 50) -> Data
     return joined.select("id", "last_updated_at", F.coalesce("articles", F.lit(0)).alias("articles"), F.coalesce(F.col("o.entity"), F.array().cast("array<string>")).alias("entities"))
 
 
-def merge_candidates(snap: DataFrame, hours: int = 72) -> DataFrame:
-    """(a, b, tickers, proper_nouns): clusters within the window that share a symbol or two names, a < b."""
-    rows = snap.select("id", "last_updated_at", F.explode(F.array_distinct("entities")).alias("entity"))
+def merge_candidates(snap: DataFrame, hours: int = 72, cap: int | None = None) -> DataFrame:
+    """(a, b, tickers, proper_nouns): clusters within the window that share a symbol or two names, a < b.
+    With a cap, those that together have no more articles, which are all that a merge can take."""
+    fit = snap if cap is None else snap.where(F.col("articles") <= cap)
+    rows = fit.select("id", "last_updated_at", "articles", F.explode(F.array_distinct("entities")).alias("entity"))
     # buckets of the window's width keep a frequent entity from pairing clusters of all times
     rows = rows.withColumn("bucket", F.floor(F.unix_seconds(F.col("last_updated_at").cast("timestamp")) / F.lit(hours * 3600)))
-    other = rows.select(F.col("id").alias("b"), F.col("last_updated_at").alias("b_at"), "entity", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    other = rows.select(F.col("id").alias("b"), F.col("last_updated_at").alias("b_at"), F.col("articles").alias("b_articles"), "entity", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     pairs = rows.withColumnRenamed("id", "a").join(other, ["entity", "bucket"]).where(F.col("a") < F.col("b"))
     pairs = pairs.where(F.abs(F.timestamp_diff("MICROSECOND", F.col("last_updated_at"), F.col("b_at"))) <= hours * 3_600_000_000)
+    if cap is not None:
+        pairs = pairs.where(F.col("articles") + F.col("b_articles") <= cap)
     symbol = F.col("entity").startswith("$")
     counted = pairs.groupBy("a", "b").agg(F.count_if(symbol).alias("tickers"), F.count_if(~symbol).alias("proper_nouns"))
     return counted.where("tickers >= 1 or proper_nouns >= 2")
@@ -224,36 +230,72 @@ def greedy_merge(snap: DataFrame, pairs: DataFrame, cap: int = 15) -> DataFrame:
     cluster, then by the later one. A walk from entity to entity in the order in which they were
     stored would meet the same pairs in another order, and merge others once the cap binds.
 
-    The walk is done in rounds: a pair that comes first among all pairs of both its clusters does not
-    depend on any other, so all such pairs are merged at once. Pairs within one cluster or beyond the
-    cap drop out for good, since clusters only grow. No task holds more than its share of the pairs.
+    Each decision may depend on the one before it, over any distance, so the walk is one sequence, in
+    one task. All else is shared out: the clusters are numbered in their order, the pairs of which both
+    sides fit the cap at the outset are gathered as one row of numbers for each earlier cluster, and the
+    task takes these rows as they come. It holds nine bytes a cluster and one batch of rows.
     """
-    at = F.struct(F.coalesce(-unix(F.col("last_updated_at")), F.lit(2**63 - 1)).alias("t"), "id")
-    placed = snap.select("id", at.alias("at"), F.col("articles").cast("bigint").alias("n"))
-    a, b = (placed.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}")) for c in "ab")
-    edges = pairs.select("a", "b").join(a, "a").join(b, "b")
-    first = F.col("at_a") < F.col("at_b")
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    edges = stash(edges.select(pick("a", "b").alias("x"), pick("b", "a").alias("y"), F.struct(F.least("at_a", "at_b").alias("u"), F.greatest("at_a", "at_b").alias("v")).alias("rank")))
-    involved = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    sizes = stash(placed.select("id", "n").join(involved, "id", "left_semi"))
-    merged = None
-    while True:
-        nx, ny = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
-        open_ = stash(edges.where("x <> y").join(nx, "x").join(ny, "y").where(F.col("nx") + F.col("ny") <= cap))
-        if open_.isEmpty():
-            break
-        least = open_.select("rank", F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.min("rank").alias("least"))
-        lx, ly = (least.select(F.col("id").alias(c), F.col("least").alias(f"l{c}")) for c in "xy")
-        chosen = open_.join(lx, "x").join(ly, "y").where((F.col("rank") == F.col("lx")) & (F.col("rank") == F.col("ly")))
-        keep_x = F.col("nx") >= F.col("ny")
-        step = stash(chosen.select(F.when(keep_x, F.col("y")).otherwise(F.col("x")).alias("victim"), F.when(keep_x, F.col("x")).otherwise(F.col("y")).alias("survivor"), (F.col("nx") + F.col("ny")).alias("n")).dropDuplicates(["victim"]))
-        moves = step.select("victim", "survivor")
-        edges = stash(repoint(repoint(open_.select("x", "y", "rank"), moves, "x"), moves, "y"))
-        grown = step.select(F.col("survivor").alias("id"), F.col("n").alias("grown"))
-        sizes = stash(sizes.join(moves.select(F.col("victim").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("grown", "n").alias("n")))
-        merged = stash(moves if merged is None else repoint(merged, moves, "survivor").unionByName(moves))
-    return merged if merged is not None else snap.sparkSession.createDataFrame([], "victim string, survivor string")
+    t = F.coalesce(-unix(F.col("last_updated_at")), F.lit(2**63 - 1)).alias("t")
+    known = snap.select("id", t, F.col("articles").cast("bigint").alias("n")).groupBy("id").agg(F.min("t").alias("t"), F.max("n").alias("n"))
+    placed = _numbered(known.where(F.col("n") <= cap), "t", "id")
+    total = placed.count()
+    a, b = (placed.select(F.col("id").alias(c), F.col("place").alias(f"p{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    fit = pairs.select("a", "b").join(a, "a").join(b, "b").where((F.col("na") + F.col("nb") <= cap) & (F.col("pa") != F.col("pb")))
+    early = F.col("pa") < F.col("pb")
+    pick = lambda x, y: F.when(early, F.col(x)).otherwise(F.col(y)).cast("int")
+    each = fit.select(pick("pa", "pb").alias("u"), pick("na", "nb").alias("n"), F.struct(pick("pb", "pa").alias("v"), pick("nb", "na").alias("n")).alias("later"))
+    rows = each.groupBy("u", "n").agg(F.array_sort(F.collect_set("later")).alias("later"))
+    walked = rows.select("u", "n", F.col("later.v").alias("v"), F.col("later.n").alias("m")).repartition(1).sortWithinPartitions("u").mapInArrow(_walk(total, cap), "victim int, survivor int")
+    name = lambda c: placed.select(F.col("place").alias(c), F.col("id").alias(f"{c}_id"))
+    moves = stash(walked).join(name("victim"), "victim").join(name("survivor"), "survivor")
+    return moves.select(F.col("victim_id").alias("victim"), F.col("survivor_id").alias("survivor"))
+
+
+def _numbered(df: DataFrame, *order: str) -> DataFrame:
+    """The rows with their ``place`` in the order, from 0. No task holds more than its part of them."""
+    ordered = stash(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)  # the row within its partition is in the lower bits
+    sizes = sorted(ordered.groupBy(part.cast("int").alias("part")).count().collect())
+    starts, so_far = [], 0
+    for n, size in sizes:
+        starts.append((n, so_far - (n << 33)))
+        so_far += size
+    shift = df.sparkSession.createDataFrame(starts, "part int, shift bigint")
+    return ordered.withColumn("part", part.cast("int")).join(F.broadcast(shift), "part").withColumn("place", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+
+
+def _walk(total: int, cap: int):
+    """For mapInArrow: the merges of (u, n, v, m), pairs of the cluster u with later ones and their sizes, by u."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into, size = array("i", np.arange(total, dtype=np.int32).tobytes()), array("i", bytes(4 * total))
+        seen = bytearray(total)  # clusters that have their size
+
+        def root(i: int) -> int:
+            while into[i] != i:
+                into[i] = i = into[into[i]]
+            return i
+
+        for batch in batches:
+            for u, n, later, sizes in zip(*(c.to_pylist() if k < 2 else c for k, c in enumerate(batch.columns))):
+                if not seen[u]:
+                    seen[u], size[u] = 1, n
+                x = root(u)
+                for v, m in zip(later.values.to_numpy().tolist(), sizes.values.to_numpy().tolist()):
+                    if not seen[v]:
+                        seen[v], size[v] = 1, m
+                    y = root(v)
+                    if x != y and size[x] + size[y] <= cap:
+                        if size[x] < size[y]:
+                            x, y = y, x
+                        size[x] += size[y]
+                        into[y] = x
+        gone = [i for i in range(total) if into[i] != i]
+        for at in range(0, len(gone), 100_000):
+            some = gone[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(map(root, some), pa.int32())], names=["victim", "survivor"])
+
+    return run
 
 
 def repoint(df: DataFrame, merges: DataFrame, column: str = "topic_cluster_id") -> DataFrame:

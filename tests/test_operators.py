@@ -88,6 +88,27 @@ def test_greedy_merge_respects_the_cap(spark):
     assert {tuple(r) for r in moved.collect()} == {("1", "a"), ("2", "c"), ("3", None)}
 
 
+def test_greedy_merge_of_a_chain_takes_no_round_a_link(spark, monkeypatch):
+    written, stash = [], cl.stash
+    monkeypatch.setattr(cl, "stash", lambda df: written.append(df) or stash(df))
+    base, n = datetime(2024, 1, 1), 40
+    # each pair waits for the one before it: every second one is beyond the cap once that is merged
+    snap = spark.createDataFrame([(f"c{i:02d}", base - timedelta(hours=i), 6 if i % 2 else 5, []) for i in range(n)] + [("c00", base, 5, [])], "id string, last_updated_at timestamp_ntz, articles int, entities array<string>")
+    pairs = spark.createDataFrame([(f"c{i:02d}", f"c{i + 1:02d}") for i in range(n - 1)] + [("c03", "c02"), ("c01", "c01")], "a string, b string")
+    got = {tuple(r) for r in cl.greedy_merge(snap, pairs).collect()}
+    assert got == {(f"c{i:02d}", f"c{i + 1:02d}") for i in range(0, n, 2)}
+    assert len(written) <= 3
+    assert cl.greedy_merge(snap, pairs.where("a = 'none'")).collect() == []
+
+
+def test_candidates_that_fit_the_cap_give_the_same_merges(spark):
+    base = datetime(2024, 1, 1)
+    snap = spark.createDataFrame([("a", base, 8, ["$X"]), ("b", base, 7, ["$X"]), ("c", base, 15, ["$X"]), ("d", base, 0, ["$X"]), ("e", base, 16, ["$X"])], "id string, last_updated_at timestamp_ntz, articles int, entities array<string>")
+    fit = cl.merge_candidates(snap, cap=15)
+    assert {(r["a"], r["b"]) for r in fit.collect()} == {("a", "b"), ("a", "d"), ("b", "d"), ("c", "d")}
+    assert set(cl.greedy_merge(snap, fit).collect()) == set(cl.greedy_merge(snap, cl.merge_candidates(snap)).collect())
+
+
 def _stream_rows():
     rows = []
     for i in range(12):
