@@ -1,4 +1,8 @@
 import random
+import re
+import time
+
+import pytest
 
 from presswork.llm import mainbody, pages, repeats, residue, truncation
 
@@ -187,3 +191,32 @@ def test_copies_of_a_cut_text_are_no_manner_of_closing(spark):
     cases = truncation.truncated(found)
     assert {r["id"] for r in cases.collect()} == {f"c{i}" for i in range(9)}
     assert {r["source"]: r["truncated"] for r in truncation.shares(found, cases).collect()} == {"a.test": 3, "b.test": 3, "c.test": 3, "d.test": 0}
+
+
+@pytest.mark.parametrize("line", ["x" * 155, "by " + "x" * 150 + " 7", "x" * 130 + " 7 reporter"])
+def test_long_words_cost_no_backtracking(line):
+    began = time.process_time()
+    pages.look(line)
+    assert time.process_time() - began < 0.5
+
+
+@pytest.mark.parametrize(
+    "line, said",
+    [("jane de la cruz, staff writer", True), ("a b c d e f, reporter", False), ("jane cruz | reporter", True), ("jane cruz reports", True), ("von jane cruz-meier, berlin", True), ("by one two three four five six", False)]
+    + [("5 min read", True), ("quay at dawn (photo: j. cruz)", True), ("quay at dawn. foto: cruz", True), ("cruz / city archives", True), ("the reporter, who left", False)],
+)
+def test_lines_by_which_a_page_talks_about_itself(line, said):
+    assert pages.site_line(line) is said
+
+
+@pytest.mark.parametrize("text, there", [("a {{ name }} b", True), ("x___TITLE__ x", False), ("___TITLE__ x", True), ("x __TITLE__", True), ("TKTK and TK x TK", True), ("5 % of [1] [^2]", False), ("w[NAME]", False), ("[NAME]", True), ("$${price}", True), ("%%date%%", True), ("TOTAL @ T", False)])
+def test_places_are_tried_where_they_can_begin(text, there):
+    assert bool(residue._UNFILLED.search(text)) is there
+    assert residue._holds_place(text) is there
+
+
+def test_codes_are_masked_as_by_the_plain_pattern():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("af19 g_-é٣²") for _ in range(rng.randint(0, 40)))
+        assert residue._CODE.sub("#", text) == re.sub(r"\b[a-f]{0,16}\d\w*", "#", text)
