@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -171,3 +172,22 @@ def test_core_does_not_import_this_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "presswork.llm" not in path.read_text()
+
+
+@pytest.mark.parametrize("text", ["l'été don’t naïve_x a1b ² ½", "žluťoučký kůň", "don’t stop", "Straße—weiß", "слово x", "日本 x", "x\ud800y", ""])
+def test_words_of_are_the_matches_of_the_pattern(text):
+    assert linkspam.words_of(text) == linkspam._WORD.findall(text)
+
+
+def test_pairs_are_counted_once_for_both_measures():
+    rng = random.Random(5)
+    seen = set()
+    for _ in range(400):
+        words = rng.choices(["of", "the", "blue", "shoes", "red", *(f"w{chr(97 + i)}q" for i in range(rng.randint(1, 26)))], k=rng.randint(20, 60))
+        pairs = Counter(zip(words, words[1:]))
+        content = 2 * sum(n for x, n in pairs.items() if n >= 3 and linkspam._content(x)) >= len(words) / 3
+        top = sum(n for _, n in pairs.most_common(4)) >= 0.18 * len(words)
+        assert bool(linkspam._may_be_stuffed([" ".join(words)])) is (content or top)
+        seen.add((content, top))
+    assert {(False, False), (False, True), (True, True)} <= seen
+    assert not linkspam._may_be_stuffed(["blue shoes " * 5])  # fewer than twenty words
